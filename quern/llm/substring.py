@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.textscan import BLANK, Scan, chunks, mix, runs, scan
+from quern.llm.udfs import estimated_bytes
 from quern.operators.lineage import cut
 
 SEED = 5
@@ -270,8 +271,7 @@ def common_seeds(docs: DataFrame, text_col: str, sample: int = 2000) -> np.ndarr
 
 def bucket_count(docs: DataFrame, each: int = 8 << 20) -> int:
     """Enough buckets for about ``each`` bytes of strings in each, from the planner's estimate of the input's size."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(1 << 20, max(16, 6 * size // each)))
+    return int(min(1 << 20, max(16, 6 * estimated_bytes(docs) // each)))
 
 
 _RESULT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.string())])
