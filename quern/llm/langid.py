@@ -64,7 +64,7 @@ class LanguageModel:
 
     def logits(self, texts: list[bytes | None]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.langs)))
-        for lo, hi in chunks(texts, 1 << 20):
+        for lo, hi in chunks(texts, 1 << 19):
             grams, at = _grams(texts[lo:hi])
             n = sum(np.add.reduceat((g != BUCKETS).astype(np.int64), at) for g in grams)
             for k in range(len(self.langs)):

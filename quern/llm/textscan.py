@@ -19,7 +19,7 @@ NON_ALNUM = np.zeros(256, bool)
 NON_ALNUM[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ def scan(texts: list[bytes | None], separators: np.ndarray = BLANK, lower: bool
     return Scan(data, raw, start, end, np.searchsorted(start, at))
 
 
-def chunks(texts: list[bytes | None], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about ``most`` bytes together; a longer text is alone."""
     lo = size = 0
     for i, t in enumerate(texts):
