@@ -27,7 +27,7 @@ def jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [b[j] for j in range(len(b)) if used[j]]
-    turned = sum(x != y for x, y in zip(hits, other, strict=True)) / 2
+    turned = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
     m = len(hits)
     return (m / len(a) + m / len(b) + (m - turned) / m) / 3
 
