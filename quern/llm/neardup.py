@@ -8,10 +8,13 @@ Two sets of similarity s meet in a table with probability ``(1 - (1 - s**PER_GRO
 No pairs are made within a table's bucket before it is known what they are for:
 
 1. equal sets are one node (a star to the smallest id);
-2. each node is compared with the smallest node of a bucket of its own, and components are formed;
-3. nodes whose component still differs from that of another bucket's smallest node are compared with that;
-4. what is left in a bucket are nodes of different components of which neither is the smallest: these pairs are all
-   compared, but those that the triangle inequality of Jaccard distances (to the smallest node) rules out.
+2. for nodes in buckets of three or more, the shingles that no other such node has are counted: the fewer, the more
+   central a node, and no shared set can be larger than the rest;
+3. each node is compared with the most central node of its buckets, and components are formed;
+4. nodes whose component still differs from that of another bucket's most central node are compared with that;
+5. what is left in a bucket are nodes of different components of which neither is the most central: a pair is compared
+   in the first table where it meets, by the differences of its sets to the central one (which give the pair's own
+   difference exactly), unless the counts of 2. or the sizes of these differences rule it out.
 
 So a bucket of n copies costs n comparisons, and every pair that meets in a bucket is compared, linked or ruled out.
 """
@@ -116,6 +119,26 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return cut(got.groupBy("x", "y").agg(nearest).select("x", "y", "r.shared", "r.total", (100 * F.col("r.shared") >= percent * F.col("r.total")).alias("linked")))
 
 
+def _differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, top_id, n, diff): set size of the id, and the shingles that one of the two sets has and the other has not.
+
+    An id with several texts gives a row for each, all against the other's smallest text.
+    """
+    one = texts.groupBy("id").agg(F.min("text").alias("ty")).select(F.col("id").alias("top_id"), "ty")
+    both = pairs.join(texts.select("id", F.col("text").alias("tx")), "id").join(one, "top_id")
+
+    def work(tx: pa.Array, ty: pa.Array) -> pa.Array:
+        @lru_cache(64)
+        def sets(t: bytes) -> np.ndarray:
+            return shingle_sets([t], width)[0]
+
+        rows = zip(tx.cast(pa.binary()).to_pylist(), ty.cast(pa.binary()).to_pylist(), strict=True)
+        return pa.array([{"n": len(sets(a)), "diff": np.setxor1d(sets(a), sets(b), assume_unique=True).view(np.int64)} for a, b in rows], pa.struct([("n", pa.int64()), ("diff", pa.list_(pa.int64()))]))
+
+    work.__annotations__ = {"tx": pa.Array, "ty": pa.Array, "return": pa.Array}
+    return both.select("id", "top_id", F.arrow_udf(work, "struct<n:bigint,diff:array<bigint>>").asNondeterministic()("tx", "ty").alias("r")).select("id", "top_id", "r.n", "r.diff")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -134,19 +157,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
     nodes = cut(nodes)
     same = linkable.select("id", "a", "b", "n").join(nodes.select(F.col("id").alias("rep"), "a", "b", "n"), ["a", "b", "n"]).filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
     edges = cut(same)
-    # buckets: each node with the smallest of each bucket that it is in
     i, j = F.lit(GROUPS - 1), F.lit(2 * GROUPS - 1)
     keys = F.flatten(F.transform(F.sequence(F.lit(0), i), lambda p: F.transform(F.sequence(F.lit(GROUPS), j), lambda q: F.xxhash64(p, q, F.element_at("sig", p + 1), F.element_at("sig", q + 1)))))
-    order = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = nodes.select("id", "n", F.explode(keys).alias("key"))
-    met = met.withColumn("top", F.first("id").over(order)).withColumn("top_n", F.first("n").over(order))
-    member = cut(met.filter("top <> id"))  # only what shares a bucket is stored
+    by_key = Window.partitionBy("key").orderBy("id")
+    met = nodes.select("id", "n", F.posexplode(keys).alias("t", "key"))
+    met = met.withColumn("_a", F.lag("id").over(by_key)).withColumn("_z", F.lead("id").over(by_key))
+    shared = cut(met.filter("_a is not null or _z is not null").select("key", "t", "id", "n"))  # only what shares a bucket is stored
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)  # noqa: E731  necessary, from the sizes alone
-    star = cut(member.filter(fits(F.col("n"), F.col("top_n"))).select(F.col("id").alias("x"), F.col("top").alias("y")).distinct())
-
-    def wanted(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-        return texts.join(ids, "id", "left_semi")
+    # texts are needed of nodes in buckets alone; they are looked up once
+    involved = shared.select("id").distinct()
+    texts = cut(texts.join(involved, "id", "left_semi").distinct())
+    # 2. shingles of one node alone
+    large = cut(shared.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least_n")).filter("c > 2").select("key", "least_n"))
+    crowd = shared.join(large, "key", "left_semi").select("id").distinct()
+    hashed = texts.join(crowd, "id", "left_semi").select("id", F.explode(text_udf("array<bigint>", lambda t: pa.array([x.view(np.int64) for x in shingle_sets(t, width)], pa.list_(pa.int64())))("text")).alias("h"))
+    alone = hashed.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("_z")).filter("id = _z").groupBy("id").agg(F.count("*").alias("u"))
+    alone = cut(alone)
+    central = Window.partitionBy("key").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = shared.join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    ranked = ranked.withColumn("top", F.first(F.struct("u", "id", "n")).over(central))
+    member = cut(ranked.filter("top.id <> id"))
+    star = member.filter(fits(F.col("n"), F.col("top.n"))).select(F.col("id").alias("x"), F.col("top.id").alias("y"), F.col("top.u").alias("yu")).distinct()
+    star = cut(star)
 
     def labelled(of: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
         c = comp.select(F.col("node").alias(col), F.col("component").alias(name))
@@ -155,30 +187,40 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
     def linked(done: DataFrame) -> DataFrame:
         return done.filter("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
-    # 2. one comparison for each node
-    first = star.groupBy("x").agg(F.min("y").alias("y"))
-    done = _compared(first, wanted(first), width, percent)
+    # 3. one comparison for each node
+    done = _compared(star.groupBy("x").agg(F.min_by("y", F.struct("yu", "y")).alias("y")), texts, width, percent)
     edges = edges.union(linked(done))
     comp = connected_components(edges)
-    # 3. the other buckets' smallest nodes, where that could still join something
-    more = labelled(labelled(star, comp, "x", "cx"), comp, "y", "cy").filter("cx <> cy").select("x", "y").join(done.select("x", "y"), ["x", "y"], "left_anti")
-    more = cut(more)
-    if not more.isEmpty():
-        extra = _compared(more, wanted(more), width, percent)
-        edges, done = edges.union(linked(extra)), cut(done.union(extra))
+    # 4. the other buckets' central nodes, where that could still join something
+    more = labelled(labelled(star.select("x", "y"), comp, "x", "cx"), comp, "y", "cy").filter("cx <> cy").select("x", "y").join(done.select("x", "y"), ["x", "y"], "left_anti")
+    extra = _compared(more, texts, width, percent)
+    done = done.union(extra)
+    if not extra.filter("linked").isEmpty():
+        edges = edges.union(linked(extra))
         comp = connected_components(edges)
-    # 4. members of a bucket that are in different components
-    far = done.select(F.col("x").alias("id"), F.col("y").alias("top"), (1 - F.col("shared") / F.col("total")).alias("d"))
-    held = labelled(member, comp, "id", "c")
+    # 5. members of a bucket that are in different components
+    reach = F.col("n") - F.col("u")
+    held = member.select("key", "t", "id", "n", "u", F.col("top.id").alias("top_id")).join(large, "key").filter(100 * reach >= percent * (F.col("n") + F.greatest("least_n", reach) - reach))
+    held = cut(labelled(held.select("key", "t", "id", "n", "top_id", reach.alias("e")), comp, "id", "c"))
     mixed = held.groupBy("key").agg((F.max("c") != F.min("c")).alias("m")).filter("m").select("key")
-    held = cut(held.join(mixed, "key", "left_semi").join(far, ["id", "top"], "left").select("key", "id", "n", "c", "d"))
-    if not held.isEmpty():
-        p, q = held.alias("p"), held.alias("q")
-        near = F.coalesce(F.abs(F.col("p.d") - F.col("q.d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-        left = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") > F.col("q.id")) & (F.col("p.c") != F.col("q.c")) & fits(F.col("p.n"), F.col("q.n")) & near)
-        left = cut(left.select(F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct().join(done.select("x", "y"), ["x", "y"], "left_anti"))
-        if not left.isEmpty():
-            edges = edges.union(linked(_compared(left, wanted(left), width, percent)))
-            comp = connected_components(edges)
+    held = held.join(mixed, "key", "left_semi")
+    # sets differ from each other by what their differences to the central set do not share: exact, and short for copies
+    diffs = cut(_differences(held.select("id", "top_id").distinct(), texts, width))
+    one_set = nodes.groupBy("id").agg(F.when(F.count("*") == 1, F.first("sig")).alias("sig"))
+    held = cut(held.drop("n").join(diffs, ["id", "top_id"]).join(one_set, "id"))
+    p, q = held.alias("p"), held.alias("q")
+    most = F.least("p.e", "q.e")
+    could = 100 * most >= percent * (F.col("p.n") + F.col("q.n") - most)
+    # 100 * shared >= percent * total, with total = shared + differing and 2 * shared = sizes - differing
+    allowed = (100 - percent) * (F.col("p.n") + F.col("q.n"))
+    near = F.abs(F.size("p.diff") - F.size("q.diff")) * (100 + percent) <= allowed
+    # the first table of a pair: no earlier group of either collection is equal
+    new = F.expr(f"not exists(sequence(1, {2 * GROUPS}), k -> ((k - 1 < p.t div {GROUPS}) or (k > {GROUPS} and k - 1 - {GROUPS} < p.t % {GROUPS})) and p.sig[k - 1] = q.sig[k - 1])")
+    differing = F.size("p.diff") + F.size("q.diff") - 2 * F.size(F.array_intersect("p.diff", "q.diff"))
+    close = F.when(could & near, F.when(F.coalesce(new, F.lit(True)), differing * (100 + percent) <= allowed).otherwise(False)).otherwise(False)
+    last = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") > F.col("q.id")) & (F.col("p.c") != F.col("q.c")) & close)
+    last = cut(last.select(F.col("p.id").alias("src"), F.col("q.id").alias("dst")).distinct())
+    if not last.isEmpty():
+        comp = connected_components(edges.union(last))
     out = labelled(rows.select("id", "n"), comp, "id", "component_id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
