@@ -28,35 +28,36 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint")))
 
 
-_PACKED = "tag bigint, dim int, ids binary, impacts binary"
-_PACKED_ARROW = pa.schema([("tag", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("impacts", pa.binary())])
-_FOUND = "query_id bigint, vec_id bigint, score bigint"
-_FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_PACKED = "tag bigint, dim int, ids binary, keys binary, impacts binary"
+_PACKED_ARROW = pa.schema([("tag", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("impacts", pa.binary())])
+_FOUND = "query_id bigint, key bigint, vec_id bigint, score bigint"
+_FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _pack(size: int):
-    """Rows (id, q) of a partition into blocks of up to ``size`` vectors of one dimension; ``tag`` tells blocks apart."""
+    """Rows (id, key, q) of a partition into blocks of up to ``size`` vectors of one dimension; ``tag`` tells blocks apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, made = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0
-        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        held: dict[int, tuple[list[int], list[int], list[np.ndarray]]] = {}
 
         def flush(dim: int) -> pa.RecordBatch:
             nonlocal made
-            ids, rows = held.pop(dim)
+            ids, keys, rows = held.pop(dim)
             made += 1
             flat = np.concatenate(rows) if dim else np.empty(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([flat.astype(np.int64).tobytes()], pa.binary())], schema=_PACKED_ARROW)
+            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(keys, np.int64).tobytes()], pa.binary()), pa.array([flat.astype(np.int64).tobytes()], pa.binary())], schema=_PACKED_ARROW)
 
         for b in batches:
-            q = b.column(1)
+            q = b.column(2)
             flat, off = q.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(q.value_lengths().to_numpy(zero_copy_only=False))))
-            for i, vec in enumerate(b.column(0).to_pylist()):
+            for i, (vec, key) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 row = flat[off[i] : off[i + 1]]
-                ids, rows = held.setdefault(len(row), ([], []))
+                ids, keys, rows = held.setdefault(len(row), ([], [], []))
                 ids.append(vec)
+                keys.append(key)
                 rows.append(row)
                 if len(ids) == size:
                     yield flush(len(row))
@@ -120,11 +121,11 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, qi, qv, ci, cv in zip(*(b.column(x).to_pylist() for x in range(5)), strict=True):
+            for dim, qi, qk, qv, ci, cv in zip(*(b.column(x).to_pylist() for x in range(6)), strict=True):
                 q_ids, c_ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
                 q, c = np.frombuffer(qv, np.int64).reshape(len(q_ids), dim), np.frombuffer(cv, np.int64).reshape(len(c_ids), dim)
                 a, w, s = search_block(q_ids, q, c_ids, c, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(c_ids[w]), pa.array(s.astype(np.int64))], schema=_FOUND_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(np.frombuffer(qk, np.int64)[a]), pa.array(c_ids[w]), pa.array(s.astype(np.int64))], schema=_FOUND_ARROW)
 
     return run
 
@@ -134,20 +135,22 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
 
     Queries are the rows where ``queries`` holds.  Ties go to the smaller id.  Rows whose id is null, whose vector is null
     or holds a null or non-finite component take no part; vectors of another dimension than the query's are no candidates.
-    A query with fewer than ``k`` candidates gets all, with none no row.  A repeated id is never its own candidate.
+    A query with fewer than ``k`` candidates gets all, with none no row.  A repeated id is never its own candidate;
+    equal queries are one, and different vectors of one id are queries of their own.
 
     Index blocks stay as they are packed; blocks of queries meet them by an equi-join on (block of queries, group), so
     neither side is broadcast whole or collected, and no task holds more than a block of each.
     """
     ok = vectors.select(F.col(id_col).cast("bigint").alias("id"), quantised(F.col(vector_col), scale).alias("q"), F.coalesce(queries, F.lit(False)).alias("_is_query")).filter("id is not null and q is not null")
-    asked = ok.filter("_is_query").select("id", "q")
+    ok = ok.withColumn("key", F.xxhash64("id", "q"))
+    asked = ok.filter("_is_query").select("id", "key", "q").dropDuplicates(["id", "q"])
     n = asked.count()
     blocks = max(1, -(-n // QUERIES))
-    q = asked.repartition(blocks).mapInArrow(_pack(QUERIES), _PACKED).select("dim", F.col("tag").alias("qb"), F.col("ids").alias("q_ids"), F.col("impacts").alias("q_impacts"))
+    q = asked.repartition(blocks).mapInArrow(_pack(QUERIES), _PACKED).select("dim", F.col("tag").alias("qb"), F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("impacts").alias("q_impacts"))
     q = q.withColumn("qpart", F.pmod(F.shiftright("qb", 32), F.lit(blocks).cast("bigint"))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    c = ok.select("id", "q").mapInArrow(_pack(BLOCK), _PACKED).select("dim", F.col("tag"), F.col("ids").alias("c_ids"), F.col("impacts").alias("c_impacts"))
+    c = ok.select("id", "key", "q").mapInArrow(_pack(BLOCK), _PACKED).select("dim", F.col("tag"), F.col("ids").alias("c_ids"), F.col("impacts").alias("c_impacts"))
     c = c.withColumn("g", F.pmod(F.xxhash64("tag"), F.lit(groups).cast("bigint")).cast("int")).withColumn("qpart", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    met = c.join(q, ["dim", "qpart", "g"]).select("dim", "q_ids", "q_impacts", "c_ids", "c_impacts")
+    met = c.join(q, ["dim", "qpart", "g"]).select("dim", "q_ids", "q_keys", "q_impacts", "c_ids", "c_impacts")
     found = met.mapInArrow(_search(k), _FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
