@@ -121,7 +121,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, rate:
     table = (w @ e.T).astype(np.float32)
     logits = np.array([table[:, rows[i][1]] @ (rows[i][2] / max(1, rows[i][2].sum())) + b for i in check])
     target = np.array([y[i] for i in check])
-    scales = np.geomspace(0.05, 20, 60)
+    scales = np.geomspace(1, 20, 60)  # never sharper than trained: what was never met must stay uncertain
     loss = [-np.log(np.maximum(_softmax(logits / s)[np.arange(len(target)), target], 1e-12)).mean() for s in scales]
     s = float(scales[int(np.argmin(loss))])
     sure = np.sort(_softmax(logits / s).max(1))

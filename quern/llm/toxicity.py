@@ -120,7 +120,7 @@ class Automaton:
 
 NAMES = ["evidence", "strongest", "exact", "any_exact", "rate", "quoted", "fuzzy", "any_fuzzy", "fuzzy_quoted", "near"]
 #: What a hit is believed to say before any label is seen, and the constant.
-PRIOR = np.array([0.3, 0.5, 0.5, 1.0, 0.0, -1.0, 0.3, 1.0, -0.5, 0.5, -3.0])
+PRIOR = np.array([0.3, 0.5, 0.5, 2.5, 0.0, -1.0, 0.3, 1.0, -0.5, 0.5, -3.0])
 _KEPT = 200_000
 
 
