@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from quern.llm.textscan import BLANK, Scan, chunks, mix, runs, scan
 from quern.llm.udfs import estimated_bytes
-from quern.operators.lineage import cut
 
 SEED = 5
 UNIT = 32 << 20
@@ -31,7 +30,7 @@ LONGEST = 256
 COMMON, MOST_COMMON = 0.01, 4096
 U = np.uint64
 _TO_BLANK = bytes(32 if BLANK[b] else b for b in range(256))
-_ZSTD = {"codec": "zstd"}
+_ZSTD = pa.Codec("zstd", compression_level=5)
 
 
 def canonical(texts: list[bytes | None]) -> list[bytes]:
@@ -85,12 +84,12 @@ _MARK_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("first", pa.in
 
 def _packed(*arrays: np.ndarray, text: bytes = b"") -> bytes:
     raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays) + text
-    return len(arrays[0]).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, asbytes=True, **_ZSTD)
+    return len(arrays[0]).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _unpacked(blob: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
     n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:12], "little")
-    raw, at, out = pa.decompress(blob[12:], size, asbytes=True, **_ZSTD), 0, []
+    raw, at, out = _ZSTD.decompress(blob[12:], size, asbytes=True), 0, []
     for k in kinds:
         out.append(np.frombuffer(raw, k, n, at))
         at += n * np.dtype(k).itemsize
@@ -317,7 +316,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     blobs = keyed.mapInArrow(_mapper(width, bucket_count(keyed), common), _ROW)
     marks = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reducer(width), _MARK)
     # spans of one text: bounded by its length
-    spans = cut(marks).groupBy("k1", "k2").agg(F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last"))
+    spans = marks.groupBy("k1", "k2").agg(F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last"))
     both = docs.withColumns({"_k1": k1, "_k2": k2}).join(spans.withColumnsRenamed({"k1": "_m1", "k2": "_m2"}), (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left")
     cutter = F.arrow_udf(_cut_words, "struct<n_words:bigint,n_removed:bigint,spans:array<struct<first:bigint,last:bigint>>,kept:string>").asNondeterministic()
     return both.withColumn(out, cutter(text, "_first", "_last")).drop("_k1", "_k2", "_m1", "_m2", "_first", "_last")
