@@ -26,7 +26,7 @@ from quern.llm.udfs import estimated_bytes
 
 BLANK = "▁"
 #: Longer words (in characters) are folded outside the lattice, by the same rules.
-LONGEST = 64
+LONGEST = 60
 #: Two classes of characters that cover all but the blank sign: ASCII letters and most other scripts; signs.
 _LETTER = r"[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u1FFF\u2C00-" + chr(0x10FFFF) + "]"
 _SIGN = r"[\x00-\x40\x5B-\x60\x7B-\x7F\u0080-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u2000-\u2580\u2582-\u2BFF]"
@@ -135,9 +135,10 @@ def load(path: str) -> PieceModel:
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """(piece, score, id)."""
-    rows = [(p, float(model.scores[i]), i) for p, i in model.ids.items()]
-    return spark.createDataFrame(rows, "piece string, score double, id int")
+    """(piece, score, id, code): ``code`` holds the place of the score among all (equal scores are equal) and the id."""
+    place = {s: k for k, s in enumerate(sorted(set(model.scores), reverse=True))}
+    rows = [(p, float(model.scores[i]), i, place[model.scores[i]] << 20 | i) for p, i in model.ids.items()]
+    return spark.createDataFrame(rows, "piece string, score double, id int, code bigint")
 
 
 def _fallback_sql(model: PieceModel) -> str:
@@ -147,39 +148,66 @@ def _fallback_sql(model: PieceModel) -> str:
     return f"transform(sequence(0, length({h}) div 2 - 1), k -> cast(conv(substring({h}, 2 * k + 1, 2), 16, 10) as int) + {model.byte0})"
 
 
-def _fold(model: PieceModel) -> str:
-    """SQL from ``word`` and ``edges`` (map of start * 64 + length to score, id) to piece ids."""
+def _fold_merges(model: PieceModel) -> str:
+    """SQL from ``word`` and ``edges`` (numbers place of score << 32 | start << 26 | end << 20 | id) to piece ids, for BPE.
+
+    The state is the set of boundaries between pieces, as bits of one number.  An edge can merge if both its ends are
+    boundaries with just one between them; each step takes the edge of the best score, the leftmost of equals.
+
+    One pass over the edges by score does it, unless an edge was met whose ends were boundaries with more than one between
+    them, so that a later merge might still complete it: such words are folded step by step.
+    """
+    bits = "named_struct('e', e, 'ends', shiftleft(1L, cast(shiftright(e, 26) & 63 as int)) | shiftleft(1L, cast(shiftright(e, 20) & 63 as int)), 'mid', shiftleft(1L, cast(shiftright(e, 20) & 63 as int)) - shiftleft(1L, cast(shiftright(e, 26) & 63 as int) + 1))"
+    long = f"transform(filter(edges, e -> (shiftright(e, 20) & 63) - (shiftright(e, 26) & 63) > 1), e -> {bits})"
+    fits = "(b & x.ends) = x.ends and (b & x.mid) <> 0 and ((b & x.mid) & ((b & x.mid) - 1)) = 0"
+    step = f"get(transform(array(array_min(filter(l, x -> {fits}))), m -> case when m is null then b else b & ~m.mid end), 0)"
+    start, open_ = "shiftleft(1L, length(word) + 1) - 1", "shiftleft(1L, 61)"
+    steps = f"aggregate(sequence(1, greatest(1, least(size(l), length(word) - 1))), {start}, (b, _) -> {step})"
+    once = f"aggregate(array_sort(l), {start}, (b, x) -> case when (b & x.ends) <> x.ends then b when ((b & x.mid) & ((b & x.mid) - 1)) = 0 then b & ~x.mid else b | {open_} end)"
+    bounds = f"get(transform(array({long}), l -> get(transform(array({once}), f -> case when (f & {open_}) = 0 then f else {steps} end), 0)), 0)"
+    kept = f"array_sort(transform(filter(transform(edges, e -> {bits}), x -> (b & x.ends) = x.ends and (b & x.mid) = 0), x -> x.e & 4294967295L))"
+    one = f"case when (k & 1048575) = {_NONE} then get(transform(array(cast(shiftright(k, 26) as int)), s -> {_fallback_sql(model)}), 0) else array(cast(k & 1048575 as int)) end"
+    return f"get(transform(array({bounds}), b -> flatten(transform({kept}, k -> {one}))), 0)"
+
+
+def _fold_paths(model: PieceModel) -> str:
+    """SQL from ``word`` and ``edges`` (map of start * 1024 + length to score, id) to piece ids: Viterbi."""
     edge = "try_element_at(edges, cast({a} * 1024 + ({z}) - ({a}) as int))"
-    if model.bpe:
-        pair = edge.format(a="b[i]", z="b[i + 2]")
-        options = f"filter(transform(sequence(0, size(b) - 3), i -> named_struct('s', -{pair}.score, 'i', i)), x -> x.s is not null)"
-        step = f"case when size(b) < 3 then b else coalesce(get(transform(array(array_min({options})), m -> filter(b, (v, k) -> m.i is null or k <> m.i + 1)), 0), b) end"
-        bounds = f"aggregate(sequence(1, length(word)), sequence(0, length(word)), (b, _) -> {step})"
-    else:
-        worst = min(model.scores) - 10
-        # state: best score and best last cut of each prefix
-        cand = (
-            f"transform(sequence(greatest(0, z - {model.longest}), z - 1), a -> named_struct('s', t[a].s + "
-            f"coalesce({edge.format(a='a', z='z')}.score, case when a = z - 1 then {worst}D end), 'a', a))"
-        )
-        table = f"aggregate(sequence(1, length(word)), array(named_struct('s', 0D, 'a', 0)), (t, z) -> array_append(t, array_max(filter({cand}, c -> c.s is not null))))"
-        back = "aggregate(sequence(1, length(word)), array(length(word)), (b, _) -> case when b[0] = 0 then b else array_prepend(b, t[b[0]].a) end)"
-        bounds = f"get(transform(array({table}), t -> {back}), 0)"
+    worst = min(model.scores) - 10
+    # state: best score and best last cut of each prefix
+    cand = (
+        f"transform(sequence(greatest(0, z - {model.longest}), z - 1), a -> named_struct('s', t[a].s + "
+        f"coalesce({edge.format(a='a', z='z')}.score, case when a = z - 1 then {worst}D end), 'a', a))"
+    )
+    table = f"aggregate(sequence(1, length(word)), array(named_struct('s', 0D, 'a', 0)), (t, z) -> array_append(t, array_max(filter({cand}, c -> c.s is not null))))"
+    back = "aggregate(sequence(1, length(word)), array(length(word)), (b, _) -> case when b[0] = 0 then b else array_prepend(b, t[b[0]].a) end)"
+    bounds = f"get(transform(array({table}), t -> {back}), 0)"
     got = edge.format(a="s", z="e")
     ids = f"flatten(transform(sequence(0, size(b) - 2), i -> get(transform(array(named_struct('s', b[i], 'e', b[i + 1])), p -> get(transform(array(p.s), s -> get(transform(array(p.e), e -> coalesce(case when {got} is not null then array({got}.id) end, {_fallback_sql(model)})), 0)), 0)), 0)))"
     return f"get(transform(array({bounds}), b -> {ids}), 0)"
 
 
+#: Stands for no piece in an edge's number.
+_NONE = (1 << 20) - 1
+
+
 def encode_words(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
     """(*keys, word, ids) of distinct rows (*keys, word) with words of 1 to LONGEST characters."""
     pieces = F.broadcast(piece_table(words.sparkSession, model))  # the model's size, whatever the data
     n = F.length("word")
-    subs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s)), lambda k: F.struct((s * 1024 + k).alias("at"), F.substring(F.col("word"), s + 1, k).alias("piece")))))
-    lattice = words.select(*keys, "word", F.explode(subs).alias("e")).select(*keys, "word", "e.at", "e.piece")
-    # left: a word of unknown characters alone has no edge, yet must be kept
-    lattice = lattice.join(pieces, "piece", "left").filter("id is not null or at % 1024 = 1")
-    grouped = lattice.groupBy(*keys, "word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", F.struct("score", "id")))).alias("edges"))
-    return grouped.withColumn("edges", F.map_from_entries("edges")).select(*keys, "word", F.expr(_fold(model)).alias("ids"))
+    # two generators of numbers: compiled, where nested lambdas would be interpreted
+    cuts = words.select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    cuts = cuts.select(*keys, "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).alias("k"))
+    lattice = cuts.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("k")))
+    # left: a character that is no piece has an edge too
+    lattice = lattice.join(pieces, "piece", "left").filter("id is not null or k = 1")
+    if model.bpe:  # an edge in one number: rows stay narrow where they are grouped
+        at = F.expr("shiftleft(cast(s as bigint), 26) | shiftleft(cast(s + k as bigint), 20)")
+        edge = F.expr("shiftleft(code div 1048576, 32)").bitwiseOR(at).bitwiseOR(F.col("code") % (1 << 20))
+        lattice = lattice.select(*keys, "word", F.coalesce(edge, at.bitwiseOR(F.lit(_NONE))).alias("edge"))
+        return lattice.groupBy(*keys, "word").agg(F.collect_list("edge").alias("edges")).select(*keys, "word", F.expr(_fold_merges(model)).alias("ids"))
+    grouped = lattice.groupBy(*keys, "word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct((F.col("s") * 1024 + F.col("k")).alias("at"), F.struct("score", "id")))).alias("edges"))
+    return grouped.withColumn("edges", F.map_from_entries("edges")).select(*keys, "word", F.expr(_fold_paths(model)).alias("ids"))
 
 
 def _group_encoder(model: PieceModel, names: list[str], text_col: str, out: str) -> Callable:
@@ -219,7 +247,7 @@ def _group_encoder(model: PieceModel, names: list[str], text_col: str, out: str)
     return run
 
 
-def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str = "piece_ids", group_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str = "piece_ids", group_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with a column ``out`` of piece ids (array of int).
 
     A null text gives null, an empty one no ids.  Equal texts get equal ids.  A column already called ``out`` is replaced.
@@ -227,7 +255,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str
     """
     docs = docs.drop(out) if out in docs.columns else docs
     names = docs.columns
-    groups = max(8, 4 * estimated_bytes(docs) // group_bytes)
+    groups = max(8, 2 * estimated_bytes(docs) // group_bytes)
     packed = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups).cast("bigint")).alias("pid"), F.struct(*[F.col(c) for c in names]).alias("s")).repartition("pid")
     # reached through an array, so that both uses of the shuffled rows read the same columns of the same exchange
     text = F.get(F.transform(F.array("s"), lambda x: x[text_col]), F.lit(0))
