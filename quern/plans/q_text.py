@@ -224,6 +224,21 @@ _COMP = f"{_CO}, e AS (SELECT a, b FROM co WHERE weight >= 3 UNION ALL SELECT b,
 _BEST = "b AS (SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM v) WHERE r = 1)"
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _NAMES = "n AS (SELECT DISTINCT p_name AS name FROM part)"
+_TOKEN = r"\w+|[^\w\s]"
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '(?s)^[^>]*>', ''), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))"""
+_BLOCKS = rf"""bare AS (SELECT page_id AS id, string_split(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '(?i)<(h1|h2|p)([\s>])', chr(1) || '\1\2', 'g'), chr(1)) AS parts FROM pages),
+part AS (SELECT id, CAST(generate_subscripts(parts[2:], 1) - 1 AS INTEGER) AS pos, regexp_replace(unnest(parts[2:]), '(?is)</(?:h1|h2|p)>.*$', '') AS x FROM bare),
+blocks AS (SELECT id, pos, lower(regexp_extract(x, '^([A-Za-z0-9]+)', 1)) AS tag, {_PLAIN} AS text FROM part)"""
+# paragraphs are lines; one beyond 120 tokens is a group of its own, of sentences
+_PACKED = rf"""lines AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS p FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)),
+sized AS (SELECT *, len(regexp_extract_all(p, '{_TOKEN}')) > 120 AS large FROM lines),
+units AS (SELECT doc_id, i, 1 AS j, p AS u, large FROM sized WHERE NOT large
+          UNION ALL SELECT doc_id, i, generate_subscripts(s, 1), unnest(s), true FROM (SELECT doc_id, i, list_filter(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM sized WHERE large)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS r, len(regexp_extract_all(u, '{_TOKEN}')) AS n, CASE WHEN large THEN i ELSE 0 END AS g FROM units),
+fold AS (SELECT doc_id, r, 0 AS segment, n AS total, g FROM numbered WHERE r = 1
+         UNION ALL SELECT b.doc_id, b.r, CASE WHEN b.g <> f.g OR f.total + b.n > 120 THEN f.segment + 1 ELSE f.segment END, CASE WHEN b.g <> f.g OR f.total + b.n > 120 THEN b.n ELSE f.total + b.n END, b.g FROM fold f JOIN numbered b ON b.doc_id = f.doc_id AND b.r = f.r + 1),
+pieces AS (SELECT doc_id, segment, CASE WHEN large THEN string_agg(u, ' ' ORDER BY r) ELSE string_agg(u, chr(10) ORDER BY r) END AS text FROM fold JOIN numbered USING (doc_id, r) GROUP BY doc_id, segment, large),
+packed AS (SELECT * FROM pieces UNION ALL SELECT doc_id, 0, text FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM lines))"""
 SQL = {
     "vector_topk": f"WITH {_COS} SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT 8",
     "vector_topk_by_label": f"WITH {_COS}, {_BEST} SELECT * FROM b",
@@ -255,4 +270,11 @@ SELECT a, b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER
     "history_last6": "SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 GROUP BY conv_id",
     "event_windows": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
+    "candidate_union": f"WITH {_NAMES}, t AS (SELECT name, list_distinct(string_split(lower(name), ' ')) AS t FROM n), c AS (SELECT p.name AS name1, q.name AS name2 FROM n p JOIN n q ON p.name < q.name AND lower(p.name[1]) = lower(q.name[1]) AND jaro_winkler_similarity(lower(p.name), lower(q.name)) >= 0.85 UNION SELECT least(p.name, q.name), greatest(p.name, q.name) FROM t p JOIN t q ON p.name <> q.name AND len(p.t) <= len(q.t) AND len(p.t) >= 2 AND list_has_all(q.t, p.t) AND len(list_filter(p.t, lambda x: length(x) < 3)) = 0) SELECT * FROM c WHERE contains(name1, ' ') AND contains(name2, ' ')",
+    "title_case": "SELECT s_suppkey, s_name || '''S O''Fallon Sp. ' || s_name AS nonletters, s_name || '''S O''Fallon sp. ' || s_name AS species, s_name || '''S O''Fallon Sp. ' || s_name AS word_starts FROM supplier",
+    "alias_dedupe": "WITH b AS (SELECT p_type, list_sort(list_distinct(list(p_brand))) AS b FROM part GROUP BY p_type) SELECT p_type, array_to_string(list_filter(b, lambda x: x <> 'Brand#11')[1:8], ',') AS aliases FROM b",
+    "html_blocks": f"WITH {_BLOCKS} SELECT id, pos, tag, CAST(length(text) AS INTEGER) AS n_chars FROM blocks",
+    "html_entries": f"""WITH {_BLOCKS}, n AS (SELECT *, sum(CASE WHEN tag <> 'p' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS e FROM blocks)
+SELECT id, CAST(e AS BIGINT) AS entry_no, max(text) FILTER (WHERE tag <> 'p') AS header, sha1(string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE tag = 'p' AND text <> '')) AS body_sha1 FROM n WHERE e > 0 GROUP BY id, e HAVING count(*) FILTER (WHERE tag = 'p' AND text <> '') > 0""",
+    "text_chunking": f"WITH RECURSIVE {_PACKED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY segment) - 1 AS INTEGER) AS segment, CAST(len(regexp_extract_all(text, '{_TOKEN}')) AS INTEGER) AS tokens, sha1(text) AS sha1 FROM packed",
 }
