@@ -14,13 +14,13 @@ def strip(s: Column) -> Column:
 
 
 def title_after_nonletters(s: Column) -> Column:
-    """Upper case after every non-letter, lower elsewhere (ASCII letters): MARIA'S RIVER -> Maria'S River."""
+    """Upper case after every non-letter, lower elsewhere (ASCII letters): ANNA'S HILL -> Anna'S Hill."""
     runs = F.regexp_extract_all(F.lower(s), F.lit("([a-z]+|[^a-z]+)"), F.lit(1))
     return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30))), "")
 
 
 def title_after_blanks(s: Column) -> Column:
-    """Upper case after white space alone: Maria's River."""
+    """Upper case after white space alone: Anna's Hill."""
     return F.initcap(F.lower(s))
 
 
