@@ -135,10 +135,10 @@ def load(path: str) -> PieceModel:
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """(piece, score, id, code): ``code`` holds the place of the score among all (equal scores are equal) and the id."""
+    """(piece, score, id, place): ``place`` is that of the score among all, best first, equal for equal scores."""
     place = {s: k for k, s in enumerate(sorted(set(model.scores), reverse=True))}
-    rows = [(p, float(model.scores[i]), i, place[model.scores[i]] << 20 | i) for p, i in model.ids.items()]
-    return spark.createDataFrame(rows, "piece string, score double, id int, code bigint")
+    rows = [(p, float(model.scores[i]), i, place[model.scores[i]]) for p, i in model.ids.items()]
+    return spark.createDataFrame(rows, "piece string, score double, id int, place bigint")
 
 
 def _fallback_sql(model: PieceModel) -> str:
@@ -148,26 +148,24 @@ def _fallback_sql(model: PieceModel) -> str:
     return f"transform(sequence(0, length({h}) div 2 - 1), k -> cast(conv(substring({h}, 2 * k + 1, 2), 16, 10) as int) + {model.byte0})"
 
 
-def _fold_merges(model: PieceModel) -> str:
-    """SQL from ``word`` and ``edges`` (numbers place of score << 32 | start << 26 | end << 20 | id) to piece ids, for BPE.
+def _fold_merges() -> str:
+    """SQL from ``word`` and ``edges`` (numbers place of score << 12 | start << 6 | end) to the word's cuts, for BPE.
 
-    The state is the set of boundaries between pieces, as bits of one number.  An edge can merge if both its ends are
+    The state is the set of boundaries between pieces, as bits of one number, which is the result.  An edge can merge if both its ends are
     boundaries with just one between them; each step takes the edge of the best score, the leftmost of equals.
 
     One pass over the edges by score does it, unless an edge was met whose ends were boundaries with more than one between
     them, so that a later merge might still complete it: such words are folded step by step.
     """
-    bits = "named_struct('e', e, 'ends', shiftleft(1L, cast(shiftright(e, 26) & 63 as int)) | shiftleft(1L, cast(shiftright(e, 20) & 63 as int)), 'mid', shiftleft(1L, cast(shiftright(e, 20) & 63 as int)) - shiftleft(1L, cast(shiftright(e, 26) & 63 as int) + 1))"
-    long = f"transform(filter(edges, e -> (shiftright(e, 20) & 63) - (shiftright(e, 26) & 63) > 1), e -> {bits})"
+    first, last = "cast(shiftright(e, 6) & 63 as int)", "cast(e & 63 as int)"
+    long = f"transform(array_sort(edges), e -> named_struct('e', e, 'ends', shiftleft(1L, {first}) | shiftleft(1L, {last}), 'mid', shiftleft(1L, {last}) - shiftleft(1L, {first} + 1)))"
     fits = "(b & x.ends) = x.ends and (b & x.mid) <> 0 and ((b & x.mid) & ((b & x.mid) - 1)) = 0"
     step = f"get(transform(array(array_min(filter(l, x -> {fits}))), m -> case when m is null then b else b & ~m.mid end), 0)"
     start, open_ = "shiftleft(1L, length(word) + 1) - 1", "shiftleft(1L, 61)"
     steps = f"aggregate(sequence(1, greatest(1, least(size(l), length(word) - 1))), {start}, (b, _) -> {step})"
-    once = f"aggregate(array_sort(l), {start}, (b, x) -> case when (b & x.ends) <> x.ends then b when ((b & x.mid) & ((b & x.mid) - 1)) = 0 then b & ~x.mid else b | {open_} end)"
+    once = f"aggregate(l, {start}, (b, x) -> case when (b & x.ends) <> x.ends then b when ((b & x.mid) & ((b & x.mid) - 1)) = 0 then b & ~x.mid else b | {open_} end)"
     bounds = f"get(transform(array({long}), l -> get(transform(array({once}), f -> case when (f & {open_}) = 0 then f else {steps} end), 0)), 0)"
-    kept = f"array_sort(transform(filter(transform(edges, e -> {bits}), x -> (b & x.ends) = x.ends and (b & x.mid) = 0), x -> x.e & 4294967295L))"
-    one = f"case when (k & 1048575) = {_NONE} then get(transform(array(cast(shiftright(k, 26) as int)), s -> {_fallback_sql(model)}), 0) else array(cast(k & 1048575 as int)) end"
-    return f"get(transform(array({bounds}), b -> flatten(transform({kept}, k -> {one}))), 0)"
+    return bounds
 
 
 def _fold_paths(model: PieceModel) -> str:
@@ -187,25 +185,25 @@ def _fold_paths(model: PieceModel) -> str:
     return f"get(transform(array({bounds}), b -> {ids}), 0)"
 
 
-#: Stands for no piece in an edge's number.
-_NONE = (1 << 20) - 1
-
-
 def encode_words(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
-    """(*keys, word, ids) of distinct rows (*keys, word) with words of 1 to LONGEST characters."""
+    """What the fold makes of distinct rows (*keys, word) with words of 1 to LONGEST characters.
+
+    (*keys, word, ids) for a unigram model.  (*keys, word, cuts) for a BPE model: bit i is set where a piece begins or ends
+    at character i; words without an edge of several characters have no row, their characters stand alone.
+    """
     pieces = F.broadcast(piece_table(words.sparkSession, model))  # the model's size, whatever the data
     n = F.length("word")
     # two generators of numbers: compiled, where nested lambdas would be interpreted
     cuts = words.select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    cuts = cuts.select(*keys, "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).alias("k"))
+    shortest = 2 if model.bpe else 1  # what is never merged needs no edge
+    cuts = cuts.filter(n - F.col("s") >= shortest).select(*keys, "word", "s", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(model.longest), n - F.col("s")))).alias("k"))
     lattice = cuts.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("k")))
+    if model.bpe:  # an edge in one number: rows stay narrow where they are grouped
+        edge = F.expr("shiftleft(place, 12) | shiftleft(cast(s as bigint), 6) | cast(s + k as bigint)")
+        lattice = lattice.join(pieces, "piece").select(*keys, "word", edge.alias("edge"))
+        return lattice.groupBy(*keys, "word").agg(F.collect_list("edge").alias("edges")).select(*keys, "word", F.expr(_fold_merges()).alias("cuts"))
     # left: a character that is no piece has an edge too
     lattice = lattice.join(pieces, "piece", "left").filter("id is not null or k = 1")
-    if model.bpe:  # an edge in one number: rows stay narrow where they are grouped
-        at = F.expr("shiftleft(cast(s as bigint), 26) | shiftleft(cast(s + k as bigint), 20)")
-        edge = F.expr("shiftleft(code div 1048576, 32)").bitwiseOR(at).bitwiseOR(F.col("code") % (1 << 20))
-        lattice = lattice.select(*keys, "word", F.coalesce(edge, at.bitwiseOR(F.lit(_NONE))).alias("edge"))
-        return lattice.groupBy(*keys, "word").agg(F.collect_list("edge").alias("edges")).select(*keys, "word", F.expr(_fold_merges(model)).alias("ids"))
     grouped = lattice.groupBy(*keys, "word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct((F.col("s") * 1024 + F.col("k")).alias("at"), F.struct("score", "id")))).alias("edges"))
     return grouped.withColumn("edges", F.map_from_entries("edges")).select(*keys, "word", F.expr(_fold_paths(model)).alias("ids"))
 
@@ -214,19 +212,30 @@ def _group_encoder(model: PieceModel, names: list[str], text_col: str, out: str)
     pattern = re.compile(model.words)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        table = {}
-        ids = right.column("ids").combine_chunks() if right.num_rows else None
-        for c in right.to_batches() if right.num_rows else ():
-            col = c.column(c.schema.get_field_index("ids"))
-            flat, off = col.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False)))).tolist()
-            for i, w in enumerate(c.column(c.schema.get_field_index("word")).to_pylist()):
-                table[w] = flat[off[i] : off[i + 1]].tobytes()
-        del ids
+        table: dict[str, bytes] = {}
+        single: dict[str, list[int]] = {}
+
+        def ids_of(piece: str) -> list[int]:
+            i = model.ids.get(piece)
+            if i is not None:
+                return [i]
+            if piece not in single:
+                single[piece] = model.fallback(piece)
+            return single[piece]
+
+        for c in right.to_batches():
+            words, made = c.column("word").to_pylist(), c.column(c.num_columns - 1).to_pylist()
+            for w, m in zip(words, made, strict=True):
+                if model.bpe:
+                    at = [i for i in range(len(w) + 1) if m >> i & 1]
+                    m = [x for a, z in zip(at, at[1:], strict=False) for x in ids_of(w[a:z])]
+                table[w] = np.array(m, np.int32).tobytes()
 
         def of(word: str) -> bytes:
             got = table.get(word)
-            if got is None:  # longer than the lattice takes
-                got = table[word] = np.array(model.encode_word(word), np.int32).tobytes()
+            if got is None:  # no edge at all, or longer than the lattice takes
+                ids = [x for ch in word for x in ids_of(ch)] if model.bpe and len(word) <= LONGEST else model.encode_word(word)
+                got = table[word] = np.array(ids, np.int32).tobytes()
             return got
 
         rows = left.column("s").combine_chunks()
@@ -247,7 +256,7 @@ def _group_encoder(model: PieceModel, names: list[str], text_col: str, out: str)
     return run
 
 
-def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str = "piece_ids", group_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str = "piece_ids", group_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with a column ``out`` of piece ids (array of int).
 
     A null text gives null, an empty one no ids.  Equal texts get equal ids.  A column already called ``out`` is replaced.
@@ -256,12 +265,12 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str
     docs = docs.drop(out) if out in docs.columns else docs
     names = docs.columns
     groups = max(8, 2 * estimated_bytes(docs) // group_bytes)
-    packed = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups).cast("bigint")).alias("pid"), F.struct(*[F.col(c) for c in names]).alias("s")).repartition("pid")
+    packed = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups).cast("bigint")).alias("pid"), F.struct(*[F.col(c) for c in names]).alias("s")).repartition(groups, "pid")
     # reached through an array, so that both uses of the shuffled rows read the same columns of the same exchange
     text = F.get(F.transform(F.array("s"), lambda x: x[text_col]), F.lit(0))
     marked = F.concat(F.when(F.lit(model.dummy_prefix) & (text != ""), F.lit(BLANK)).otherwise(F.lit("")), F.replace(text, F.lit(" "), F.lit(BLANK)))
     words = packed.select("pid", F.explode(F.array_distinct(F.regexp_extract_all(marked, F.lit(model.words), F.lit(0)))).alias("word")).filter((F.length("word") > 0) & (F.length("word") <= LONGEST))
-    coded = encode_words(words.distinct(), model, ["pid"]).select(F.col("pid").alias("gid"), "word", "ids")
+    coded = encode_words(words.distinct(), model, ["pid"]).withColumnRenamed("pid", "gid")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{out}` array<int>"])
     return packed.groupBy("pid").cogroup(coded.groupBy("gid")).applyInArrow(_group_encoder(model, names, text_col, out), schema)
 
