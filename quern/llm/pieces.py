@@ -280,7 +280,11 @@ def decode(coded: DataFrame, model: PieceModel, ids_col: str = "piece_ids", out:
     shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def work(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else shared.value.decode(x).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+        flat, size = ids.flatten().to_numpy(zero_copy_only=False), ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        end = np.cumsum(size)
+        # a row's ids at a time: a batch of them as Python numbers would be many times its size
+        own = (shared.value.decode(flat[z - n : z].tolist()).decode("utf-8", "replace") for n, z in zip(size.tolist(), end.tolist(), strict=True))
+        return pa.array([None if null else t for null, t in zip(ids.is_null().to_pylist(), own, strict=True)], pa.string())
 
     work.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     return coded.withColumn(out, F.arrow_udf(work, "string").asNondeterministic()(F.col(ids_col)))
