@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,29 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else matching_blocks_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def matched_characters(q: str, p: str) -> int:
+    """Characters of the matching blocks of ``SequenceMatcher(None, q, p, autojunk=False)``, by the same rules, a row of p at a time."""
+    if q in p:
+        return len(q)
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (q, p))
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo == ahi or blo == bhi:
+            continue
+        part, run, i, j, k = b[blo:bhi], np.zeros(bhi - blo + 1, np.int32), 0, 0, 0
+        for at in range(alo, ahi):
+            run[1:] = (run[:-1] + 1) * (part == a[at])
+            end = int(run.argmax())
+            if run[end] > k:  # the first of the longest, as there
+                k = int(run[end])
+                i, j = at - k + 1, blo + end - k
+        if k:
+            total += k
+            todo += [(alo, i, blo, j), (i + k, ahi, j + k, bhi)]
+    return total
+
+
 @F.pandas_udf(DoubleType())
 def block_overlap(quote: pd.Series, passage: pd.Series) -> pd.Series:
     """Share of the quote's characters inside matching blocks of the passage; 0 for an empty quote."""
@@ -63,11 +87,39 @@ def block_overlap(quote: pd.Series, passage: pd.Series) -> pd.Series:
     def one(q, p):
         if q is None or p is None:
             return None
-        return sum(m.size for m in SequenceMatcher(None, q, p, autojunk=False).get_matching_blocks()) / len(q) if q else 0.0
+        return matched_characters(q, p) / len(q) if q else 0.0
 
     return pd.Series([one(q, p) for q, p in zip(quote, passage, strict=True)], dtype="float64")
 
 
+def word_runs(s: Column, width: int) -> Column:
+    """The distinct runs of ``width`` words of a normalised text; none if it has fewer."""
+    none = F.array().cast("array<string>")
+    # the outer transform binds the words, so a text is split once
+    runs = F.transform(F.array(F.split(s, " ")), lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, width), " "))).otherwise(none))
+    return F.array_distinct(F.flatten(runs))
+
+
+def best_passages(quotes: DataFrame, passages: DataFrame, width: int = 5, cutoff: float = 0.25, decimals: int = 6) -> DataFrame:
+    """(item_id, doc_id, score): each quote's passage of the highest ``block_overlap`` of at least ``cutoff`` (ties by id).
+
+    ``quotes`` is (item_id, quote), ``passages`` (doc_id, passage), both of whole normalised texts.  A quote's candidates
+    are the passages that share a run of ``width`` words with it, or all its words in a row if it has fewer.
+    """
+    q = quotes.filter("quote <> ''").withColumn("n", F.least(F.size(F.split("quote", " ")), F.lit(width)))
+    lengths = sorted(r[0] for r in q.select("n").distinct().collect())  # at most ``width`` numbers
+    if not lengths:
+        lengths = [width]
+    p = passages.filter("doc_id is not null and passage is not null").withColumn("h", F.xxhash64("passage"))
+    own = F.coalesce(*[F.when(F.col("n") == n, word_runs(F.col("quote"), n)) for n in lengths])
+    wanted = q.select("item_id", F.explode(own).alias("run")).distinct()
+    met = p.select("doc_id", "h", F.explode(F.flatten(F.array(*[word_runs(F.col("passage"), n) for n in lengths]))).alias("run")).join(wanted, "run").select("item_id", "doc_id", "h").distinct()
+    both = met.join(q.select("item_id", "quote"), "item_id").join(p, ["doc_id", "h"])
+    # dealt by pair: the quotes of one long passage, and the passages of one common quote, are scored apart
+    s = both.repartition("item_id", "doc_id").withColumn("score", block_overlap("quote", "passage")).filter(F.col("score") >= cutoff)
+    return s.groupBy("item_id").agg(F.max_by("doc_id", F.struct(F.col("score"), -F.col("doc_id"))).alias("doc_id"), F.round(F.max("score"), decimals).alias("score"))
+
+
 def sounds(word: str) -> str:
     """A code of a word's consonants as they sound in English, after the published Metaphone rules (primary code)."""
     w = "".join(ch for ch in word.upper() if "A" <= ch <= "Z")

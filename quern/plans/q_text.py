@@ -199,10 +199,9 @@ def history_last6(spark, d):
 
 
 def quote_passages(spark, d):
-    b = table(spark, d, "benchmark").filter("item_id < 10").select("item_id", F.substring(text.normalised(F.col("text")), 1, 60).alias("quote"), (F.col("item_id") % 4).alias("k"))
-    p = table(spark, d, "documents").filter("doc_id < 40").select("doc_id", F.substring(text.normalised(F.col("text")), 1, 200).alias("passage"), (F.col("doc_id") % 4).alias("k"))
-    s = b.join(p, "k").withColumn("score", F.round(similarity.block_overlap("quote", "passage"), 6))
-    return s.groupBy("item_id").agg(F.max_by("doc_id", F.struct(F.col("score"), -F.col("doc_id"))).alias("doc_id"), F.max("score").alias("score")).filter("score >= 0.25")
+    b = table(spark, d, "benchmark").select("item_id", text.normalised(F.col("text")).alias("quote"))
+    p = table(spark, d, "documents").select("doc_id", text.normalised(F.col("text")).alias("passage"))
+    return similarity.best_passages(b, p)
 
 
 def event_windows(spark, d):

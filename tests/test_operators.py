@@ -137,6 +137,46 @@ def test_node_similarity_against_numpy(spark):
                 assert got[a, b] == pytest.approx(c, abs=2e-6)
 
 
+def test_matched_characters_against_difflib():
+    from difflib import SequenceMatcher
+
+    r = random.Random(6)
+    for _ in range(300):
+        q, p = ("".join(r.choice("abc é") for _ in range(r.randrange(n))) for n in (30, 90))
+        assert similarity.matched_characters(q, p) == sum(m.size for m in SequenceMatcher(None, q, p, autojunk=False).get_matching_blocks())
+
+
+def test_quote_passages_against_brute_force(spark, tmp_path):
+    """Items from 10 on, documents from 40 on, matches beyond character 200 and ids of unequal remainders."""
+    from difflib import SequenceMatcher
+
+    from quern.plans.q_text import quote_passages
+
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    quotes = [(i, words(20)) for i in range(14)] + [(14, "Two words!"), (15, None), (16, "?!"), (17, words(9))]
+    docs = [(i, words(60)) for i in range(50)] + [(50, None), (None, quotes[12][1]), (51, "")]
+    docs += [(60 + i, f"{words(50)} {q.upper()}. {words(30)}") for i, q in quotes[:12:2]]
+    docs += [(81, " ".join([words(80), *quotes[13][1].split()[:7], words(2), *quotes[13][1].split()[7:]])), (80, words(50) + " it is two, words"), (70, docs[-1][1])]
+    spark.createDataFrame(quotes, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    want = []
+    for i, t in quotes:
+        q = norm(t or "")
+        n = min(5, len(q.split()))
+        keys = [" ".join(q.split()[k : k + n]) for k in range(len(q.split()) - n + 1)] if q else []
+        of = []
+        for j, u in docs:
+            p = norm(u or "")
+            if j is not None and any(f" {k} " in f" {p} " for k in keys):
+                of.append((sum(m.size for m in SequenceMatcher(None, q, p, autojunk=False).get_matching_blocks()) / len(q), -j))
+        if of and max(of)[0] >= 0.25:
+            want.append((i, -max(of)[1], round(max(of)[0], 6)))
+    assert {i for i, _, _ in want} == {0, 2, 4, 6, 8, 10, 13, 14}
+    assert rows(quote_passages(spark, str(tmp_path)).select("item_id", "doc_id", "score")) == want
+
+
 def test_merge(spark):
     n = spark.createDataFrame([(1, "P", "ANN", "Ann", ["A"]), (2, "P", "ANNE", "Anne", None), (3, "P", "BO", "Bo", [])], "node_id long, label string, canonical_name string, name string, aliases array<string>")
     remap = spark.createDataFrame([(2, 1)], "old_id long, new_id long")
