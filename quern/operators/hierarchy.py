@@ -28,6 +28,20 @@ def closure_recursive(parents: DataFrame, child: str = "child", parent: str = "p
     )
 
 
+def closure_recursive_wide(parents: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """The same, with recursion over inner nodes alone: nodes that are no parent take their parents' paths in one join.
+
+    The session's limit of rows in a recursion then bounds the inner hierarchy, not the number of leaves.
+    """
+    e = parents.select(F.col(child).alias("child"), F.col(parent).alias("parent")).dropna().distinct()
+    inner = e.select(F.col("parent").alias("child")).distinct()
+    up = closure_recursive(e.join(inner, "child", "left_semi"))
+    leaf = e.join(inner, "child", "left_anti").select(F.col("child").alias("node"), "parent")
+    above = leaf.join(up.withColumnRenamed("node", "parent"), "parent").select("node", "ancestor", F.col("depth") + 1)
+    direct = leaf.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    return up.union(direct).union(above).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+
+
 def rank_chain(ranks: list[tuple[str, Column]]) -> Column:
     """array<struct<rank, name>> of the ranks that are present, most general first; gaps are skipped."""
     every = F.array(*[F.struct(F.lit(r).alias("rank"), c.alias("name")) for r, c in ranks])

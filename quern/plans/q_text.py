@@ -49,7 +49,7 @@ def text_chunking(spark, d):
 
 
 def document_chunks(spark, d):
-    e = table(spark, d, "documents").filter("lang = 'de'").select(F.col("doc_id").alias("entry_no"), F.col("source").alias("author"), F.lit(None).cast("date").alias("date"), F.col("text").alias("body"))
+    e = table(spark, d, "documents").select(F.col("doc_id").alias("entry_no"), F.col("source").alias("author"), F.lit(None).cast("date").alias("date"), F.col("text").alias("body"))
     return chunking.chunks_of(e, 200, r"\n", "\n").select("chunk_id", "author", "sequence", "token_count", "segment")
 
 
@@ -129,7 +129,7 @@ def mode_canonical(spark, d):
 
 
 def schema_validate_flip(spark, d):
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    li = table(spark, d, "lineitem")
     customer, part, nothing = F.array(F.lit("Person")), F.array(F.lit("Thing")), F.array(F.lit("Place"))
     kind = F.col("l_orderkey") % 3
     e = li.select(F.col("l_partkey").alias("src"), F.when(F.col("l_linenumber") == 1, "OWNS").otherwise("MEETS").alias("rel_type"), F.col("l_suppkey").alias("dst"), F.when(kind == 0, customer).when(kind == 1, part).otherwise(nothing).alias("src_l"), F.when(kind == 0, part).when(kind == 1, customer).otherwise(part).alias("dst_l"))

@@ -76,6 +76,43 @@ def test_closure_and_chain(spark):
     assert set(rows(hierarchy.chain_edges(x, "k", c).na.fill("-"))) == {(1, "family", "F", "-", "-"), (1, "genus", "g", "family", "F")}
 
 
+def test_queries_of_whole_tables(spark):
+    """Orders beyond 200, parts beyond 50, customers of any name, documents of any language, against plain Python."""
+    from quern.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    t = {n: [r.asDict() for r in spark.read.parquet(f"{sf}/{n}.parquet").collect()] for n in ("customer", "nation", "region", "orders", "lineitem", "part", "documents")}
+    q = {n: catalogue.QUERIES[n](spark, sf) for n in ("closure_recursive_all", "chunk_entities_all", "rank_chain_gaps_all", "document_chunks")}
+    nation = {n["n_nationkey"]: n for n in t["nation"]}
+    region = {r["r_regionkey"]: r["r_name"] for r in t["region"]}
+    want = [(n["n_name"], region[n["n_regionkey"]], 1) for n in t["nation"]]
+    for c in t["customer"]:
+        n = nation[c["c_nationkey"]]
+        want += [(c["c_name"], n["n_name"], 1), (c["c_name"], region[n["n_regionkey"]], 2)]
+    assert rows(q["closure_recursive_all"]) == sorted(want)
+    part = {p["p_partkey"]: p for p in t["part"]}
+    named = {o["o_orderkey"]: set() for o in t["orders"]}
+    for li in t["lineitem"]:
+        if li["l_partkey"] % 2 == 0 and li["l_partkey"] in part and li["l_orderkey"] in named:
+            named[li["l_orderkey"]].add(f"Part:{part[li['l_partkey']]['p_name']}")
+    assert rows(q["chunk_entities_all"]) == sorted((k, ",".join(sorted(v))) for k, v in named.items())
+    links = set()
+    for k, p in part.items():
+        chain = [("type", p["p_type"]), *([("brand", p["p_brand"])] if k % 3 else []), ("name", p["p_name"])]
+        links |= {(k, *x, *up) for x, up in zip(chain, [(None, None), *chain], strict=False)}
+    assert {tuple(r) for r in q["rank_chain_gaps_all"].collect()} == links and q["rank_chain_gaps_all"].count() == len(links)
+    # each document with a text gives segments from 0 on, whatever its language
+    got = q["document_chunks"].groupBy("author").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens")).collect()
+    want = chunking.chunks_of(spark.createDataFrame([(d["doc_id"], d["source"], None, d["text"]) for d in t["documents"]], "entry_no long, author string, date date, body string"), 200, r"\n", "\n")
+    assert {tuple(r) for r in got} == {tuple(r) for r in want.groupBy("author").agg(F.count("*"), F.sum("token_count")).collect()}
+    assert len({d["lang"] for d in t["documents"]}) > 1
+
+
+def test_wide_closure(spark):
+    p = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "c"), ("x", "a"), ("y", None)], "child string, parent string")
+    assert rows(hierarchy.closure_recursive_wide(p)) == rows(hierarchy.closure(p))
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 1.0], 0), (3, [0.0, 0.0], 1), (4, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert [(r.vec_id, r.score) for r in vector.top_k(v, [2.0, 0.0], 9).collect()] == [(1, 1.0), (4, 1.0), (2, 0.707107)]
