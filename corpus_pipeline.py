@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id; of rows with one id, one stays."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each group of near copies (five words, similarity 0.8) stays: that with the smallest id; of rows with one id, one stays."""
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.join(found, "doc_id", "left_semi").select(*docs.columns)
     first = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", "lang", "source")).alias("r")).select("r.*")
     return first.unionByName(docs.filter("doc_id is null"))

@@ -112,3 +112,14 @@ def test_pipeline(spark, tmp_path):
     assert kept["substring_dedup"] == kept["near_duplicates"]
     assert kept["sentencepiece"] == kept["decontamination"] <= kept["substring_dedup"]
     assert now.filter("piece_ids is null").count() == 0
+
+
+def test_pipeline_near_copies_on_both_sides(spark):
+    """Five words and 0.8: a block of 22 words more is 96 / 118 = 0.81 there, 25 single changes in 1000 words are 0.78."""
+    words = [f"w{i}" for i in range(1000)]
+    spread = [f"x{i}" if i % 40 == 20 else w for i, w in enumerate(words)]
+    block = [f"y{i}" for i in range(122)]
+    edge = [f"z{i}" for i in range(125)]
+    texts = [words, spread, block[:100], block, edge[:100], edge]  # 96 / 121 = 0.79 is below
+    df = spark.createDataFrame([(i, " ".join(t), "en", "x", len(" ".join(t))) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == {0, 1, 2, 4, 5}
