@@ -28,10 +28,10 @@ def candidates(state: GraphState, labels: list[str], titles: list[str], unambigu
     names = n.select("label", "name")
     found = [S.spelling_candidates(names, titles=titles), S.containment_candidates(names, titles=titles), S.sound_candidates(names, titles=titles), S.alias_candidates(n.select("label", "name", "aliases"))]
     if graph:
-        sim = S.node_similarity(S.co_occurrence(state.mentions))
+        sim = S.node_similarity(S.co_occurrence(state.mentions), labels=n)
         a = n.select(F.col("node_id").alias("a"), "label", F.col("name").alias("name1"))
         b = n.select(F.col("node_id").alias("b"), "label", F.col("name").alias("name2"))
-        found.append(sim.join(a, "a").join(b, ["b", "label"]).select("label", "name1", "name2"))
+        found.append(sim.join(a, ["a", "label"]).join(b, ["b", "label"]).select("label", "name1", "name2"))
     return S.admissible(S.all_candidates(*found), unambiguous)
 
 

@@ -295,16 +295,23 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
-def node_similarity(pairs: DataFrame, cutoff: float = 0.5, top: int = 10, decimals: int = 6) -> DataFrame:
+def node_similarity(pairs: DataFrame, cutoff: float = 0.5, top: int = 10, decimals: int = 6, labels: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity): cosine of weighted neighbourhoods, each node's ``top`` best of at least ``cutoff`` (ties by id).
 
+    With ``labels`` (node_id, label), which adds the column label, only nodes of equal label are compared and ranked;
+    neighbourhoods and norms stay whole.
     A sparse product: nodes meet at shared neighbours, products are summed before they are ranked.
     """
     both = mirrored(pairs)
     norm = both.groupBy("a").agg(F.sqrt(F.sum((F.col("weight") * F.col("weight")).cast("double"))).alias("norm"))
     left, right = both.select("a", F.col("b").alias("via"), F.col("weight").alias("w")), both.select(F.col("a").alias("b"), F.col("b").alias("via"), F.col("weight").alias("v"))
-    dots = left.join(right, "via").filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    on, by = ["via"], ["a", "b"]
+    if labels is not None:
+        of = labels.select(F.col("node_id").alias("a"), "label").distinct()
+        left, right = left.join(of, "a"), right.join(of.withColumnRenamed("a", "b"), "b")
+        on, by = ["via", "label"], ["a", "b", "label"]
+    dots = left.join(right, on).filter("a <> b").groupBy(*by).agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     sim = dots.join(norm, "a").join(norm.select(F.col("a").alias("b"), F.col("norm").alias("norm2")), "b")
-    sim = sim.select("a", "b", F.round(F.col("dot") / (F.col("norm") * F.col("norm2")), decimals).alias("similarity")).filter(F.col("similarity") >= cutoff)
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    sim = sim.select(*by, F.round(F.col("dot") / (F.col("norm") * F.col("norm2")), decimals).alias("similarity")).filter(F.col("similarity") >= cutoff)
+    rank = F.row_number().over(Window.partitionBy("a", *by[2:]).orderBy(F.desc("similarity"), "b"))
     return sim.withColumn("r", rank).filter(F.col("r") <= top).drop("r")

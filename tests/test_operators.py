@@ -214,6 +214,27 @@ def test_quote_passages_against_brute_force(spark, tmp_path):
     assert rows(quote_passages(spark, str(tmp_path)).select("item_id", "doc_id", "score")) == want
 
 
+def test_node_similarity_ranks_within_a_label(spark):
+    """Two persons whose 12 nearest are places: the pair is among the ten best of its label alone, as in the reference's filter."""
+    from quern.operators import resolve
+    from quern.schema import GraphState
+
+    # all meet node 100 in chunks of their own; each person also meets a node that nobody else does
+    ids = [(i, "Place", f"Old Place {i}") for i in range(12)] + [(50, "Person", "Ann Reed"), (51, "Person", "Zoe Moss"), (100, "River", "R"), (101, "River", "S"), (102, "River", "T")]
+    times = {**{(i, 100): 4 for i in range(12)}, (50, 100): 4, (50, 101): 3, (51, 100): 4, (51, 102): 3}
+    m = [(n, f"{a}-{b}-{k}") for (a, b), count in times.items() for k in range(count) for n in (a, b)]
+    mentions = spark.createDataFrame(m, "node_id long, chunk_id string")
+    nodes = spark.createDataFrame([(i, lab, n.upper(), n, []) for i, lab, n in ids], "node_id long, label string, canonical_name string, name string, aliases array<string>")
+    cosine = 16 / (5 * 5)  # norms over all neighbours; places are at 16 / (5 * 4)
+    pairs = similarity.co_occurrence(mentions)
+    plain = {(a, b) for a, b, _ in rows(similarity.node_similarity(pairs).select("a", "b", "similarity"))}
+    assert len([1 for a, _ in plain if a == 50]) == 10 and not {(50, 51), (51, 50)} & plain
+    got = {(a, b): s for a, b, s in rows(similarity.node_similarity(pairs, labels=nodes.filter("label = 'Person'")).select("a", "b", "similarity"))}
+    assert got == {(50, 51): cosine, (51, 50): cosine}
+    state = GraphState(nodes, None, mentions, None)
+    assert ("Person", "Ann Reed", "Zoe Moss") in rows(resolve.candidates(state, ["Person"], [], []))
+
+
 def test_merge(spark):
     n = spark.createDataFrame([(1, "P", "ANN", "Ann", ["A"]), (2, "P", "ANNE", "Anne", None), (3, "P", "BO", "Bo", [])], "node_id long, label string, canonical_name string, name string, aliases array<string>")
     remap = spark.createDataFrame([(2, 1)], "old_id long, new_id long")
