@@ -130,3 +130,44 @@ def test_unigram_lattice(spark):
     for w in set(words):
         assert total(got[w], w) == pytest.approx(total(model.encode_word(w), w))
         assert sum(len(model.pieces[i]) if i else 1 for i in got[w]) == len(w)
+
+
+def test_long_stretches_without_blanks(spark):
+    import sentencepiece
+
+    model, sp, r = pieces.load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(4)
+    wide = "的一是不了在人有我他这中大来上国和说们为子日本語テキスト、。ーйцукенбю"
+    texts = ["".join(r.choice(wide) for _ in range(20_000)), "".join(r.choice("abeinorst") for _ in range(20_000)), "a" * 20_000, "é漢" * 3_000, "-" * 500 + "=" * 500]
+    df = spark.createDataFrame([(i, t, "clash", [1]) for i, t in enumerate([*texts, "", None, *texts])], "doc_id long, text string, word string, gids array<int>")
+    out = pieces.encode(df, model, group_bytes=30_000).collect()
+    assert len(out) == 2 * len(texts) + 2 and all(x.word == "clash" and x.gids == [1] for x in out)
+    for x in out:
+        assert x.piece_ids == (None if x.text is None else sp.encode(x.text))
+    # most of a wide text is cut where no piece crosses, so that the lattice takes it
+    import pyarrow as pa
+
+    words = model.words_of(pa.array(texts[:1]))[0].to_pylist()
+    assert "".join(words) == "▁" + texts[0] and max(map(len, words)) <= pieces.LONGEST
+
+
+def test_a_unigram_model_equals_the_library(spark, tmp_path):
+    """Pieces and scores are set here, none are trained."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    r = random.Random(6)
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.unk_id = m.trainer_spec.UNIGRAM, 0
+    m.trainer_spec.bos_id = m.trainer_spec.eos_id = m.trainer_spec.pad_id = -1
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    own = sorted({"".join(r.choice("abcé") for _ in range(r.randrange(1, 6))) for _ in range(60)} | {"▁", "a", "b", "c", "▁a", "▁ab", "▁▁"})
+    for p, score, kind in [("<unk>", 0.0, m.SentencePiece.UNKNOWN), *((p, -r.uniform(1, 9), m.SentencePiece.NORMAL) for p in own)]:
+        m.pieces.add(piece=p, score=score, type=kind)
+    path = tmp_path / "own.model"
+    path.write_bytes(m.SerializeToString())
+    model, sp = pieces.load(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(r.randrange(1, 12))) for _ in range(r.randrange(1, 30))) for _ in range(40)] + ["zz ab", "  a  b ", "abcxyzabc", "ab" * 200]
+    for x in pieces.encode(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect():
+        score = lambda ids: sum(m.pieces[i].score for i in ids)  # noqa: E731  equal scores may part a text in several ways
+        want = sp.encode(x.text)
+        assert x.piece_ids == want or score(x.piece_ids) == pytest.approx(score(want), abs=1e-3), x.text
