@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 BLANK = "▁"
 #: A lattice's boundaries are the bits of one number, so a word of it has so many characters at most.
@@ -201,9 +201,8 @@ class PieceModel:
             if self.byte0 >= 0:
                 table[self.byte0 : self.byte0 + 256] = [bytes([b]) for b in range(256)]
             self._table = pa.array(table, pa.binary())
-        flat = self._table.take(ids.flatten())
         size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        own = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), flat)
+        own = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), self._table.take(ids.flatten()))
         raw = pc.binary_join(own, pa.scalar(b"", pa.binary())).to_pylist()
         return [None if null else x[1:] if self.dummy_prefix and x[:1] == b" " else x for null, x in zip(ids.is_null().to_pylist(), raw, strict=True)]
 
@@ -417,6 +416,7 @@ def _word_lister(shared, text_col: str) -> Callable:
         size = pc.utf8_length(words)
         # what is never merged needs no lattice
         words = words.filter(pc.and_(pc.greater(size, 1 if shared.value.bpe else 0), pc.less_equal(size, LONGEST)))
+        words = words.take(pc.array_sort_indices(words))  # in order they are stored in less
         for i in range(0, len(words), _ROWS):
             part = words.slice(i, _ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), gid)), part], names=["gid", "word"])
@@ -434,7 +434,15 @@ def _word_lister(shared, text_col: str) -> Callable:
     return run
 
 
-def _group_encoder(shared, names: list[str], text_col: str) -> Callable:
+def _texts(model: PieceModel, ids: pa.ListArray) -> pa.StringArray:
+    out = [pa.array([], pa.string())]
+    for i in range(0, len(ids), 300):  # a few rows at a time: their pieces are many times their size
+        out.append(pa.array([t if t is None else t.decode("utf-8", "replace") for t in model.decode(ids.slice(i, 300))], pa.string()))
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(out)
+
+
+def _group_encoder(shared, names: list[str], text_col: str, decoded: bool) -> Callable:
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         model, done = shared.value, []
         known = right.column("word").combine_chunks()
@@ -463,22 +471,25 @@ def _group_encoder(shared, names: list[str], text_col: str) -> Callable:
             last = np.zeros(rows.num_rows + 1, np.int64)
             last[1:][texts.is_valid().to_numpy(zero_copy_only=False)] = np.diff(stop, prepend=0)
             coded = pa.ListArray.from_arrays(pa.array(np.cumsum(last), pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
-            done.append(pa.RecordBatch.from_arrays([*rows.columns, coded], names=names))
+            del words, own, texts, ids
+            done.append(pa.RecordBatch.from_arrays([*rows.columns, coded, *([_texts(model, coded)] if decoded else [])], names=names))
+            pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(done)
 
     return run
 
 
-def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str = "piece_ids", group_bytes: int = 40 << 20) -> DataFrame:
-    """``docs`` with a column ``out`` of piece ids (array of int).
+def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str = "piece_ids", decoded: str | None = None, group_bytes: int = 24 << 20) -> DataFrame:
+    """``docs`` with a column ``out`` of piece ids (array of int); ``decoded`` names one of the texts that the ids give back.
 
     A null text gives null, an empty one no ids.  Equal texts get equal ids, repeated rows stay.  A column already called
-    ``out`` is replaced; other columns stay as they are, whatever their names.  An empty table gives no rows.  Texts of any
+    ``out`` or ``decoded`` is replaced; other columns stay as they are, whatever their names.  An empty table gives no rows.  Texts of any
     length are whole; a group is about ``group_bytes`` of text, or one text that is longer.  Texts go once through a
     shuffle, compressed, to groups dealt by place, never by content, so copies spread.  A word travels once from and to
     each group that holds it, and is folded once for every ``_SHARE`` groups.
     """
-    docs = docs.drop(out) if out in docs.columns else docs
+    made = [StructField(out, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
+    docs = docs.drop(*[f.name for f in made if f.name in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the model's size, whatever the data
     size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + F.lit(64)).alias("n")).first().n or 0
     # read twice, exchanged once: both uses take all columns
@@ -488,8 +499,8 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str
     words = held.groupBy("word", F.expr(f"gid div {_SHARE}").alias("share")).agg(F.collect_list("gid").alias("gids"))
     folded = encode_words(words, model, ["gids"])
     coded = folded.select(F.explode("gids").alias("group"), "word", F.col(folded.columns[-1]).alias("folded"))
-    schema = StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType()))])
-    return packed.groupBy("gid").cogroup(coded.groupBy("group")).applyInArrow(_group_encoder(shared, [*docs.columns, out], text_col), schema)
+    schema = StructType([*docs.schema.fields, *made])
+    return packed.groupBy("gid").cogroup(coded.groupBy("group")).applyInArrow(_group_encoder(shared, schema.names, text_col, bool(decoded)), schema)
 
 
 def decode(coded: DataFrame, model: PieceModel, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -497,10 +508,7 @@ def decode(coded: DataFrame, model: PieceModel, ids_col: str = "piece_ids", out:
     shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def work(ids: pa.Array) -> pa.Array:
-        out = []
-        for i in range(0, len(ids), 500):  # a few rows at a time: their pieces are many times their size
-            out += [t if t is None else t.decode("utf-8", "replace") for t in shared.value.decode(ids.slice(i, 500))]
-        return pa.array(out, pa.string())
+        return _texts(shared.value, ids)
 
     work.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     return coded.withColumn(out, F.arrow_udf(work, "string").asNondeterministic()(F.col(ids_col)))

@@ -3,15 +3,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.pieces import decode, encode, load
+from quern.llm.pieces import encode, load
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = load(model_path)
-    out = decode(encode(docs, model), model)
+    out = encode(docs, load(model_path), decoded="decoded")
     return out.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),

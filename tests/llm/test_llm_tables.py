@@ -171,3 +171,12 @@ def test_a_unigram_model_equals_the_library(spark, tmp_path):
         score = lambda ids: sum(m.pieces[i].score for i in ids)  # noqa: E731  equal scores may part a text in several ways
         want = sp.encode(x.text)
         assert x.piece_ids == want or score(x.piece_ids) == pytest.approx(score(want), abs=1e-3), x.text
+
+
+def test_round_trip_of_the_query(spark, tmp_path):
+    from quern.llm.q_pieces import op4_sentencepiece
+
+    spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(got) == len(TEXTS) + 1 and got[len(TEXTS)].round_trip is None
+    assert all(got[i].round_trip == ("▁" not in t) for i, t in enumerate(TEXTS))
