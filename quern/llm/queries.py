@@ -8,13 +8,13 @@ import pkgutil
 import quern.llm
 
 
-def _modules():
-    return [importlib.import_module(f"quern.llm.{m.name}") for m in pkgutil.iter_modules(quern.llm.__path__) if m.name.startswith("q_")]
+#: Imported at once, so that whoever imports this module learns whether all can be imported.
+MODULES = [importlib.import_module(f"quern.llm.{m.name}") for m in pkgutil.iter_modules(quern.llm.__path__) if m.name.startswith("q_")]
 
 
 def queries() -> dict:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.SQL.items()}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
