@@ -1,7 +1,7 @@
 """Cutting lineage in the folder all executors share.
 
-``spark.checkpoint.dir`` names that folder.  Only where neither the session nor its context has one (unit tests,
-``local[*]``) a folder under ``/tmp/checkpoints`` is used, which is right for a single machine alone.
+``spark.checkpoint.dir`` names that folder.  Where neither the session nor its context has one, a folder under
+``/tmp/checkpoints`` is used on a local master alone (unit tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:
