@@ -51,8 +51,8 @@ def normalised(s: Column) -> Column:
 
 
 def clean_tokens(s: Column, titles: list[str], least: int) -> Column:
-    """Lower-cased tokens of letters and digits that are no titles and have ``least`` characters."""
-    t = F.split(F.regexp_replace(F.lower(s), "[^a-z0-9 ]", " "), " +")
+    """Lower-cased words, signs within them left out, that are no titles and have ``least`` characters: O'Fallon is ofallon."""
+    t = F.split(F.regexp_replace(F.lower(s), r"[^a-z0-9\s]", ""), r"\s+")
     return F.filter(t, lambda x: (F.length(x) >= least) & ~x.isin(titles) if titles else F.length(x) >= least)
 
 

@@ -69,11 +69,22 @@ def extracted_edges(results: DataFrame, nodes: DataFrame, rel_schema: DataFrame)
     return edge_upsert(keyed).select(F.col("src.label").alias("src_label"), F.col("src.name").alias("src"), "rel_type", F.col("dst.label").alias("dst_label"), F.col("dst.name").alias("dst"), "date", "chunk_id")
 
 
-def node_upserts(nodes: DataFrame) -> DataFrame:
-    """(label, canonical_name, name, aliases): the display name is the title-cased canonical one, other spellings are aliases."""
+def node_upserts(nodes: DataFrame, titles: list[str] = (), lexicon: DataFrame | None = None, person: str = "Person") -> DataFrame:
+    """(label, canonical_name, name, aliases): the display name is the title-cased canonical one, other spellings are aliases.
+
+    A person's spelling must be plausible for the canonical name (see ``plausible_rows``), so a bare title is no alias,
+    unless the lexicon (raw, canonical) says that it is meant.
+    """
     display = title_after_nonletters(F.col("canonical_name"))
-    alias = (F.trim("name") != "") & (F.col("name") != display) & (F.upper("name") != F.col("canonical_name")) & ~F.col("name").contains("&")
-    return nodes.groupBy("label", "canonical_name").agg(F.array_sort(F.collect_set(F.when(alias, F.col("name")))).alias("aliases")).select("label", "canonical_name", title_after_nonletters(F.col("canonical_name")).alias("name"), "aliases")
+    rows = plausible_rows(nodes.withColumn("name", strip(F.col("name"))), "name", "canonical_name", list(titles))
+    sure = F.lit(False)
+    if lexicon is not None:
+        said = lexicon.select(F.lower(F.trim("raw")).alias("_raw"), F.upper("canonical").alias("_to")).dropDuplicates(["_raw"])
+        rows = rows.join(said, F.lower("name") == F.col("_raw"), "left")
+        sure = F.coalesce(F.col("_to") == F.col("canonical_name"), sure)
+    alias = (F.col("name") != "") & (F.col("name") != display) & (F.upper("name") != F.col("canonical_name")) & ~F.col("name").contains("&")
+    alias = alias & ((F.col("label") != person) | sure | F.col("plausible"))
+    return rows.groupBy("label", "canonical_name").agg(F.array_sort(F.collect_set(F.when(alias, F.col("name")))).alias("aliases")).select("label", "canonical_name", title_after_nonletters(F.col("canonical_name")).alias("name"), "aliases")
 
 
 def mention_upserts(nodes: DataFrame) -> DataFrame:
@@ -85,7 +96,7 @@ def unprocessed(chunks: DataFrame, done: DataFrame) -> DataFrame:
     return chunks.join(done.select("chunk_id"), "chunk_id", "left_anti").orderBy("sequence")
 
 
-def resolve_mentions(mentions: DataFrame, nodes: DataFrame, chunks: DataFrame, decide, skip: list[str] = (), reach: int = 3) -> DataFrame:
+def resolve_mentions(mentions: DataFrame, nodes: DataFrame, chunks: DataFrame, decide, skip: list[str] = (), reach: int = 3, label: str = "Person") -> DataFrame:
     """(node_id, chunk_id, new_id) of single-word person mentions that ``decide`` resolved to a candidate nearby.
 
     Candidates are persons of longer names that hold the word, mentioned within ``reach`` chunks.  ``decide`` maps rows
@@ -93,7 +104,7 @@ def resolve_mentions(mentions: DataFrame, nodes: DataFrame, chunks: DataFrame, d
     """
     from quern.operators.sequence import around
 
-    people = nodes.filter("label = 'Person'").select("node_id", "name", "canonical_name", "aliases")
+    people = nodes.filter(F.col("label") == label).select("node_id", "name", "canonical_name", "aliases")
     single = people.filter(~F.col("name").contains(" ") & ~F.col("name").isin(list(skip)))
     at = mentions.join(single.select("node_id", "name"), "node_id").join(chunks.select("chunk_id", "sequence"), "chunk_id")
     anchors = at.select(F.struct("node_id", "chunk_id", "name").alias("anchor"), "sequence")
@@ -111,9 +122,9 @@ def only_candidate(asked: DataFrame) -> DataFrame:
     return asked.filter(F.size("candidates") == 1).select("node_id", "chunk_id", F.col("candidates")[0].alias("full_name"))
 
 
-def generic_places(nodes: DataFrame, classify=None) -> DataFrame:
+def generic_places(nodes: DataFrame, classify=None, label: str = "Place") -> DataFrame:
     """(canonical_name, generic) by a classifier over distinct names; without one nothing is generic."""
-    names = nodes.filter("label = 'Place'").select("canonical_name").distinct()
+    names = nodes.filter(F.col("label") == label).select("canonical_name").distinct()
     return classify(names) if classify else names.withColumn("generic", F.lit(False))
 
 

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.lineage import cut
+
 
-def closure(parents: DataFrame, child: str = "child", parent: str = "parent", depth: int = 6) -> DataFrame:
-    """(node, ancestor, depth): all paths of 1 to ``depth`` steps, as that many unrolled joins (hierarchies are shallow)."""
-    base = parents.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).dropna().distinct()
-    step = base.select(F.col("node").alias("_mid"), F.col("ancestor").alias("_up"))
-    levels = [base.withColumn("depth", F.lit(1))]
-    for d in range(2, depth + 1):
-        last = levels[-1]
-        levels.append(last.join(step, last.ancestor == step._mid).select("node", F.col("_up").alias("ancestor"), F.lit(d).alias("depth")))
-    return reduce(DataFrame.unionByName, levels).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+def closure(parents: DataFrame, child: str = "child", parent: str = "parent", depth: int | None = None) -> DataFrame:
+    """(node, ancestor, depth): the shortest path to every ancestor, in rounds until none is new; ``depth`` bounds the rounds.
+
+    Each round joins the pairs of the last one alone with the parents.  On a cycle a node is its own ancestor, too.
+    """
+    step = cut(parents.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).dropna().distinct())
+    up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"))
+    every = last = step.withColumn("depth", F.lit(1))
+    d = 1
+    while depth is None or d < depth:
+        d += 1
+        new = last.join(up, "ancestor").select("node", F.col("_up").alias("ancestor")).distinct().join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        last = cut(new.withColumn("depth", F.lit(d)))
+        if last.isEmpty():
+            break
+        every = every.unionByName(last)
+    return every
 
 
 def closure_recursive(parents: DataFrame, child: str = "child", parent: str = "parent", view: str = "_closure_parents") -> DataFrame:
-    """The same for any depth that the session's recursion limit allows."""
+    """The same in one recursive statement, for trees within the session's limits of levels and rows; ``closure`` has none."""
     parents.select(F.col(child).alias("c"), F.col(parent).alias("p")).dropna().distinct().createOrReplaceTempView(view)
     return parents.sparkSession.sql(
         f"WITH RECURSIVE up(node, ancestor, depth) AS (SELECT c, p, 1 FROM {view} UNION ALL SELECT up.node, v.p, up.depth + 1 FROM up JOIN {view} v ON v.c = up.ancestor) "
@@ -28,20 +36,6 @@ def closure_recursive(parents: DataFrame, child: str = "child", parent: str = "p
     )
 
 
-def closure_recursive_wide(parents: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """The same, with recursion over inner nodes alone: nodes that are no parent take their parents' paths in one join.
-
-    The session's limit of rows in a recursion then bounds the inner hierarchy, not the number of leaves.
-    """
-    e = parents.select(F.col(child).alias("child"), F.col(parent).alias("parent")).dropna().distinct()
-    inner = e.select(F.col("parent").alias("child")).distinct()
-    up = closure_recursive(e.join(inner, "child", "left_semi"))
-    leaf = e.join(inner, "child", "left_anti").select(F.col("child").alias("node"), "parent")
-    above = leaf.join(up.withColumnRenamed("node", "parent"), "parent").select("node", "ancestor", F.col("depth") + 1)
-    direct = leaf.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    return up.union(direct).union(above).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-
-
 def rank_chain(ranks: list[tuple[str, Column]]) -> Column:
     """array<struct<rank, name>> of the ranks that are present, most general first; gaps are skipped."""
     every = F.array(*[F.struct(F.lit(r).alias("rank"), c.alias("name")) for r, c in ranks])

@@ -155,3 +155,73 @@ def check_direction(edges: DataFrame, rel_schema: DataFrame) -> DataFrame:
     turn = ~F.col("_ok")
     swap = {a: F.when(turn, F.col(b)).otherwise(F.col(a)) for a, b in (("src", "dst"), ("dst", "src"), ("src_l", "dst_l"), ("dst_l", "src_l"))}
     return e.withColumns(swap).withColumn("flipped", turn).select(*edges.columns, "flipped")
+
+
+def conflicting(nodes: DataFrame, source: str, target: str) -> DataFrame:
+    """(old_id, new_id): ``source`` nodes whose canonical name a ``target`` node has, to be merged into it."""
+    a = nodes.filter(F.col("label") == source).select(F.col("node_id").alias("old_id"), "canonical_name")
+    b = nodes.filter(F.col("label") == target).groupBy("canonical_name").agg(F.min("node_id").alias("new_id"))
+    return a.join(b, "canonical_name").select("old_id", "new_id")
+
+
+def absorb_nodes(nodes: DataFrame, remap: DataFrame) -> DataFrame:
+    """Nodes of ``remap`` (old_id, new_id) go; what they were called joins the aliases of their new node, which keeps the rest."""
+    none = F.array().cast("array<string>")
+    gone = nodes.join(remap.withColumnRenamed("old_id", "node_id"), "node_id")
+    more = gone.groupBy("new_id").agg(F.array_distinct(F.flatten(F.collect_list(F.concat(F.coalesce("aliases", none), F.array("name", "canonical_name"))))).alias("_more"))
+    kept = nodes.join(remap.select(F.col("old_id").alias("node_id")), "node_id", "left_anti").join(more.withColumnRenamed("new_id", "node_id"), "node_id", "left")
+    all_ = F.array_sort(F.filter(F.array_except(F.array_union(F.coalesce("aliases", none), "_more"), F.array("name", "canonical_name")), lambda x: x.isNotNull()))
+    return kept.withColumn("aliases", F.when(F.col("_more").isNull(), F.col("aliases")).otherwise(all_)).select(*nodes.columns)
+
+
+def rename_or_merge(nodes: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, remap) after ``renames`` (node_id, new_name) of canonical names.
+
+    The old name joins the aliases.  Where another node of the label has the new name already, the renamed one is merged
+    into it (``remap`` is old_id, new_id, for edges and mentions); of several renamed alike the smallest id takes the name.
+    """
+    none = F.array().cast("array<string>")
+    r = nodes.select("node_id", "label", "canonical_name").join(renames, "node_id").filter("new_name <> canonical_name")
+    owner = nodes.join(r.select("node_id"), "node_id", "left_anti").groupBy("label", F.col("canonical_name").alias("new_name")).agg(F.min("node_id").alias("_owner"))
+    first = r.groupBy("label", "new_name").agg(F.min("node_id").alias("_first"))
+    to = r.join(owner, ["label", "new_name"], "left").join(first, ["label", "new_name"]).withColumn("new_id", F.coalesce("_owner", "_first"))
+    remap = to.filter("new_id <> node_id").select(F.col("node_id").alias("old_id"), "new_id")
+    named = to.filter("new_id = node_id").select("node_id", "new_name")
+    n = nodes.join(named, "node_id", "left")
+    n = n.withColumn("aliases", F.when(F.col("new_name").isNull(), F.col("aliases")).otherwise(F.array_sort(F.array_except(F.array_union(F.coalesce("aliases", none), F.array("canonical_name")), F.array("new_name")))))
+    n = n.withColumn("canonical_name", F.coalesce("new_name", "canonical_name")).select(*nodes.columns)
+    return absorb_nodes(n, remap), remap
+
+
+def fixed_node(nodes: DataFrame, node_id, label: str, name: str, canonical_name: str, aliases: list[str]) -> DataFrame:
+    """One node is there, with these aliases besides those that it had, but its own names."""
+    here = (F.col("label") == label) & (F.col("canonical_name") == canonical_name)
+    own, more = F.array(F.lit(name), F.lit(canonical_name)), F.array(*map(F.lit, aliases)).cast("array<string>")
+    none = F.array().cast("array<string>")
+    old = nodes.filter(here)
+    new = nodes.sparkSession.createDataFrame([(node_id, label, name, canonical_name)], "node_id long, label string, name string, canonical_name string").withColumn("aliases", none)
+    both = old.unionByName(new.join(old.select("label", "canonical_name"), ["label", "canonical_name"], "left_anti"), allowMissingColumns=True)
+    both = both.withColumns({"name": F.lit(name), "aliases": F.array_sort(F.array_except(F.array_union(F.coalesce("aliases", none), more), own))})
+    return nodes.filter(~F.coalesce(here, F.lit(False))).unionByName(both.select(*nodes.columns))
+
+
+def written_back(nodes: DataFrame, values: DataFrame, key: str = "node_id") -> DataFrame:
+    """Columns of ``values`` (one row for a key) overwrite those of ``nodes``, or are added; other nodes keep theirs."""
+    names = [c for c in values.columns if c != key]
+    v = values.select(key, F.lit(True).alias("_has"), *[F.col(c).alias(f"_{c}") for c in names])
+    out = nodes.join(v, key, "left")
+    for c in names:
+        old = F.col(c) if c in nodes.columns else F.lit(None)
+        out = out.withColumn(c, F.when(F.col("_has"), F.col(f"_{c}")).otherwise(old))
+    return out.drop("_has", *[f"_{c}" for c in names])
+
+
+def counts(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(created, updated, deleted, kept): what a mutation did to rows of unique ``keys``."""
+    rest = [c for c in before.columns if c not in keys]
+    a = before.select(*keys, F.struct(*rest).alias("_a"), F.lit(True).alias("_in"))
+    b = after.select(*keys, F.struct(*rest).alias("_b"), F.lit(True).alias("_out"))
+    both = a.join(b, keys, "full_outer")
+    same = F.col("_a").eqNullSafe(F.col("_b"))
+    stays = F.col("_in").isNotNull() & F.col("_out").isNotNull()
+    return both.agg(F.count_if(F.col("_in").isNull()).alias("created"), F.count_if(stays & ~same).alias("updated"), F.count_if(F.col("_out").isNull()).alias("deleted"), F.count_if(stays & same).alias("kept"))

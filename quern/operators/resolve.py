@@ -22,17 +22,22 @@ def by_score(cutoff: float = 0.95):
     return decide
 
 
-def candidates(state: GraphState, labels: list[str], titles: list[str], unambiguous: list[str], graph: bool = True) -> DataFrame:
-    """(label, name1, name2) from spelling, containment, sound, aliases and, if ``graph``, shared neighbourhoods."""
+def candidates(state: GraphState, labels: list[str], titles: list[str], unambiguous: list[str], graph: bool = True, persons: tuple[str, ...] = ("Person",)) -> DataFrame:
+    """(label, name1, name2) from spelling, containment, sound, aliases and, if ``graph``, shared neighbourhoods.
+
+    Titles are stripped from, and single words refused for, names of the labels ``persons`` alone.
+    """
     n = state.nodes.filter(F.col("label").isin(labels))
     names = n.select("label", "name")
-    found = [S.spelling_candidates(names, titles=titles), S.containment_candidates(names, titles=titles), S.sound_candidates(names, titles=titles), S.alias_candidates(n.select("label", "name", "aliases"))]
+    found = [*[f(names, titles=titles, titled=list(persons)) for f in (S.spelling_candidates, S.containment_candidates, S.sound_candidates)], S.alias_candidates(n.select("label", "name", "aliases"))]
     if graph:
         sim = S.node_similarity(S.co_occurrence(state.mentions), labels=n)
         a = n.select(F.col("node_id").alias("a"), "label", F.col("name").alias("name1"))
         b = n.select(F.col("node_id").alias("b"), "label", F.col("name").alias("name2"))
         found.append(sim.join(a, ["a", "label"]).join(b, ["b", "label"]).select("label", "name1", "name2"))
-    return S.admissible(S.all_candidates(*found), unambiguous)
+    every = S.all_candidates(*found)
+    person = F.col("label").isin(list(persons))
+    return S.admissible(every.filter(person), unambiguous).unionByName(every.filter(~person))
 
 
 def merge_pairs(state: GraphState, pairs: DataFrame) -> GraphState:
@@ -56,10 +61,10 @@ def merge_pairs(state: GraphState, pairs: DataFrame) -> GraphState:
     return GraphState(nodes, mutate.remap_edges(state.edges, remap), moved, state.chunks)
 
 
-def disambiguate(state: GraphState, labels: list[str], titles: list[str], unambiguous: list[str], decide=None, passes: int = 2) -> GraphState:
+def disambiguate(state: GraphState, labels: list[str], titles: list[str], unambiguous: list[str], decide=None, passes: int = 2, persons: tuple[str, ...] = ("Person",)) -> GraphState:
     """Names and aliases first, then also the graph, whose neighbourhoods the first merges have brought together."""
     decide = decide or by_score()
     for p in range(passes):
-        decided = decide(candidates(state, labels, titles, unambiguous, graph=p > 0)).filter("same_entity")
+        decided = decide(candidates(state, labels, titles, unambiguous, graph=p > 0, persons=persons)).filter("same_entity")
         state = merge_pairs(state, decided)
     return state

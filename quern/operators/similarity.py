@@ -212,12 +212,20 @@ def metaphone(word: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else sounds(w) for w in word], dtype="object")
 
 
-def name_tokens(name: Column, titles: list[str] | None = None) -> Column:
-    """Lower-cased words of letters and digits; a leading title goes if anything is left."""
-    toks = F.filter(F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " "), lambda x: x != "")
+def name_tokens(name: Column, titles: list[str] | None = None, titled: Column | None = None) -> Column:
+    """Lower-cased words between blanks, without dots, in any script; a leading title goes if anything is left.
+
+    ``titled`` says of which names titles are stripped; of all by default.
+    """
+    toks = F.filter(F.transform(F.split(F.lower(name), " "), lambda x: F.trim(F.replace(x, F.lit("."), F.lit("")))), lambda x: x != "")
     if not titles:
         return toks
-    return F.when((F.size(toks) > 1) & F.array_contains(F.array(*map(F.lit, titles)), F.get(toks, F.lit(0))), F.slice(toks, F.lit(2), F.size(toks))).otherwise(toks)
+    leads = (F.size(toks) > 1) & F.array_contains(F.array(*map(F.lit, titles)), F.get(toks, F.lit(0)))
+    return F.when(leads if titled is None else leads & titled, F.slice(toks, F.lit(2), F.size(toks))).otherwise(toks)
+
+
+def _titled(labels: list[str] | None) -> Column | None:
+    return None if labels is None else F.col("label").isin(labels)
 
 
 def _pairs(left: DataFrame, on: list[str]) -> DataFrame:
@@ -226,22 +234,25 @@ def _pairs(left: DataFrame, on: list[str]) -> DataFrame:
     return left.join(b, on).filter(F.col("name") < F.col("name2"))
 
 
-def spelling_candidates(names: DataFrame, cutoff: float = 0.92, titles: list[str] | None = None) -> DataFrame:
+def spelling_candidates(names: DataFrame, cutoff: float = 0.92, titles: list[str] | None = None, titled: list[str] | None = None) -> DataFrame:
     """(label, name1, name2) of equal first character and Jaro-Winkler of the title-stripped names of at least ``cutoff``.
 
     ``names`` is (label, name).  Blocks are (label, first character); empty names pair with nothing.
     """
-    n = names.select("label", "name", F.array_join(name_tokens(F.col("name"), titles), " ").alias("plain")).filter("plain <> ''").distinct()
-    p = _pairs(n.withColumn("key", F.left("plain", F.lit(1))), ["label", "key"])
+    n = names.select("label", "name", F.array_join(name_tokens(F.col("name"), titles, _titled(titled)), " ").alias("plain")).filter("plain <> ''").distinct()
+    p = _pairs(n.withColumn("key", F.left("plain", F.lit(1))).withColumn("size", F.length("plain")), ["label", "key"])
+    # a prefix of four adds 0.4 of what is missing at most, and of unlike lengths only the shorter's characters can agree
+    least = 3 * (cutoff - 0.4) / 0.6 - 2
+    p = p.filter(F.least("size", "size2") >= (least - 1e-9) * F.greatest("size", "size2"))
     return p.filter(jaro_winkler("plain", "plain2") >= cutoff).select("label", F.col("name").alias("name1"), F.col("name2")).distinct()
 
 
-def containment_candidates(names: DataFrame, least_tokens: int = 2, least_length: int = 3, titles: list[str] | None = None) -> DataFrame:
+def containment_candidates(names: DataFrame, least_tokens: int = 2, least_length: int = 3, titles: list[str] | None = None, titled: list[str] | None = None) -> DataFrame:
     """(label, name1, name2) where all tokens of the shorter name, enough and long enough ones, are in the longer.
 
     The shorter name's rarest token is the block, so a common token does not pair everything.
     """
-    n = names.select("label", "name", F.array_distinct(name_tokens(F.col("name"), titles)).alias("t")).distinct()
+    n = names.select("label", "name", F.array_distinct(name_tokens(F.col("name"), titles, _titled(titled))).alias("t")).distinct()
     n = n.filter(F.size("t") > 0)
     each = n.select("label", "name", "t", F.explode("t").alias("key"))
     often = each.groupBy("label", "key").agg(F.count("*").alias("often"))
@@ -253,10 +264,11 @@ def containment_candidates(names: DataFrame, least_tokens: int = 2, least_length
     return hit.select("label", F.least("name", "other").alias("name1"), F.greatest("name", "other").alias("name2")).distinct()
 
 
-def sound_candidates(names: DataFrame, cutoff: float = 0.85, least_length: int = 3, titles: list[str] | None = None) -> DataFrame:
-    """(label, name1, name2) whose last tokens sound alike: codes with the same first sign and Jaro-Winkler of ``cutoff``."""
-    n = names.select("label", "name", F.try_element_at(name_tokens(F.col("name"), titles), F.lit(-1)).alias("last")).filter(F.length("last") >= least_length)
-    n = n.distinct().withColumn("code", metaphone("last")).filter("code <> ''")
+def sound_candidates(names: DataFrame, cutoff: float = 0.85, least_length: int = 3, titles: list[str] | None = None, titled: list[str] | None = None) -> DataFrame:
+    """(label, name1, name2) whose last tokens sound alike: codes of ``least_length`` signs with the same first one and Jaro-Winkler of ``cutoff``."""
+    n = names.select("label", "name", F.try_element_at(name_tokens(F.col("name"), titles, _titled(titled)), F.lit(-1)).alias("last")).dropna()
+    codes = n.select("last").distinct().withColumn("code", metaphone("last")).filter(F.length("code") >= least_length)
+    n = n.distinct().join(codes, "last")
     p = _pairs(n.withColumn("key", F.left("code", F.lit(1))), ["label", "key"])
     return p.filter(jaro_winkler("code", "code2") >= cutoff).select("label", F.col("name").alias("name1"), F.col("name2")).distinct()
 

@@ -187,11 +187,6 @@ def _entities(spark, d, orders: DataFrame) -> DataFrame:
 
 
 def chunk_entities(spark, d):
-    """A sample; ``chunk_entities_all`` is the whole."""
-    return _entities(spark, d, table(spark, d, "orders").filter("o_orderkey <= 200"))
-
-
-def chunk_entities_all(spark, d):
     return _entities(spark, d, table(spark, d, "orders"))
 
 
@@ -205,13 +200,7 @@ def chunk_relations(spark, d):
 
 
 def closure_recursive(spark, d):
-    """A sample; ``closure_recursive_all`` is the whole."""
-    out = hierarchy.closure_recursive(places(spark, d).filter("rank = 'region' or child like '%1'"))
-    return out.select("node", "ancestor", F.col("depth").cast("int").alias("depth"))
-
-
-def closure_recursive_all(spark, d):
-    return hierarchy.closure_recursive_wide(places(spark, d)).select("node", "ancestor", F.col("depth").cast("int").alias("depth"))
+    return hierarchy.closure(places(spark, d)).select("node", "ancestor", F.col("depth").cast("int").alias("depth"))
 
 
 def alias_rollup(spark, d):
@@ -226,11 +215,6 @@ def _gaps(p: DataFrame) -> DataFrame:
 
 
 def rank_chain_gaps(spark, d):
-    """A sample; ``rank_chain_gaps_all`` is the whole."""
-    return _gaps(table(spark, d, "part").filter("p_partkey <= 50"))
-
-
-def rank_chain_gaps_all(spark, d):
     return _gaps(table(spark, d, "part"))
 
 
@@ -257,7 +241,7 @@ def rollup_counts(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).rollup("n_name", "c_mktsegment").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (hop_distinct_targets, bound_source_targets, cooccur_chunk_join, near_comention, group_by_ancestor, collect_targets, not_generic_filter, top_mentions_multiset, top_mentions_distinct, ancestor_path, type_disjunction, count_distinct_targets, before_first_mention, after_anchor_date, window_months_before, window_days_after, node_properties, descendants_semi, descendants_before_first, descendants_after_first, two_counts, between_first_mentions, sequence_prev_k, sequence_neighbours, sequence_context, next_chunk_edges, chunk_entities, chunk_entities_all, chunk_relations, closure_recursive, closure_recursive_all, alias_rollup, rank_chain_gaps, rank_chain_gaps_all, set_ops, anti_missing_members, tri_state_flag, rollup_counts)}
+QUERIES = {f.__name__: f for f in (hop_distinct_targets, bound_source_targets, cooccur_chunk_join, near_comention, group_by_ancestor, collect_targets, not_generic_filter, top_mentions_multiset, top_mentions_distinct, ancestor_path, type_disjunction, count_distinct_targets, before_first_mention, after_anchor_date, window_months_before, window_days_after, node_properties, descendants_semi, descendants_before_first, descendants_after_first, two_counts, between_first_mentions, sequence_prev_k, sequence_neighbours, sequence_context, next_chunk_edges, chunk_entities, chunk_relations, closure_recursive, alias_rollup, rank_chain_gaps, set_ops, anti_missing_members, tri_state_flag, rollup_counts)}
 
 _ASIA = "asia AS (SELECT c_custkey AS src, c_name AS node FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')"
 _PLACES = "places AS (SELECT c_name AS child, n_name AS parent, 'nation' AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, r_name, 'region' FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -288,16 +272,13 @@ SQL = {
     "sequence_neighbours": f"WITH {_SEQ} SELECT a.chunk_id AS anchor, b.chunk_id, CAST(b.sequence - a.sequence AS INTEGER) AS distance FROM ch a JOIN ch b ON abs(a.sequence - b.sequence) <= 3 WHERE a.chunk_id IN (10, 20, 30)",
     "sequence_context": f"WITH {_SEQ} SELECT DISTINCT b.chunk_id, b.date, b.sequence FROM ch a JOIN ch b ON b.sequence BETWEEN a.sequence - 5 AND a.sequence - 1 WHERE a.chunk_id IN (10, 20, 30) ORDER BY date, sequence LIMIT 8",
     "next_chunk_edges": f"WITH {_SEQ} SELECT a.chunk_id AS src, b.chunk_id AS dst FROM ch a JOIN ch b ON b.sequence = a.sequence + 1",
-    "chunk_entities": "WITH e AS (SELECT DISTINCT l_orderkey AS chunk_id, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 2 = 0) SELECT o_orderkey AS chunk_id, coalesce(string_agg('Part:' || p_name, ',' ORDER BY p_name), '') AS entities FROM orders LEFT JOIN e ON e.chunk_id = o_orderkey WHERE o_orderkey <= 200 GROUP BY 1",
     "chunk_relations": f"WITH {_OBS}, ids AS (SELECT l_partkey AS i FROM lineitem WHERE l_orderkey IN (1, 2, 3) UNION SELECT l_suppkey FROM lineitem WHERE l_orderkey IN (1, 2, 3)) SELECT DISTINCT dst AS src, 'SOLD_BY' AS rel_type, supplier AS dst FROM obs WHERE dst IN (SELECT i FROM ids) AND supplier IN (SELECT i FROM ids) ORDER BY 2, 1, 3 LIMIT 30",
-    "closure_recursive": f"WITH RECURSIVE {_PLACES}, p AS (SELECT * FROM places WHERE rank = 'region' OR child LIKE '%1'), up AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM p UNION ALL SELECT up.node, p.parent, up.depth + 1 FROM up JOIN p ON p.child = up.ancestor) SELECT node, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM up GROUP BY node, ancestor",
     "alias_rollup": "WITH x AS (SELECT n_name, r_name, trim(c_mktsegment) AS a FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), y AS (SELECT DISTINCT n_name AS ancestor, a FROM x UNION SELECT DISTINCT r_name, a FROM x) SELECT ancestor, string_agg(a, ',' ORDER BY a) AS aliases FROM y WHERE length(a) >= 2 GROUP BY ancestor",
-    "rank_chain_gaps": "WITH p AS (SELECT * FROM part WHERE p_partkey <= 50) SELECT p_partkey, 'type' AS rank, p_type AS name, NULL::VARCHAR AS parent_rank, NULL::VARCHAR AS parent_name FROM p UNION ALL SELECT p_partkey, 'brand', p_brand, 'type', p_type FROM p WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 'name', p_name, CASE WHEN p_partkey % 3 <> 0 THEN 'brand' ELSE 'type' END, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE p_type END FROM p",
     "set_ops": "WITH a AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_linenumber = 2), c AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_linenumber = 3) ((SELECT * FROM a UNION SELECT * FROM b) INTERSECT SELECT * FROM c) UNION (SELECT * FROM a EXCEPT SELECT * FROM b)",
     "anti_missing_members": "SELECT DISTINCT w AS canonical_name FROM (SELECT replace(s_name, 'Supplier', 'Customer') AS w FROM supplier UNION ALL SELECT n_name FROM nation) WHERE w NOT IN (SELECT c_name FROM customer)",
     "tri_state_flag": "WITH c AS (SELECT CASE WHEN c_acctbal > 5000 THEN true WHEN c_acctbal < 0 THEN false END AS flag FROM customer) SELECT count(*) FILTER (WHERE flag) AS is_true, count(*) FILTER (WHERE NOT flag) AS not_flag, count(*) FILTER (WHERE NOT coalesce(flag, false)) AS not_coalesced FROM c",
     "rollup_counts": "SELECT n_name, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)",
-    "chunk_entities_all": "WITH e AS (SELECT DISTINCT l_orderkey AS chunk_id, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 2 = 0) SELECT o_orderkey AS chunk_id, coalesce(string_agg('Part:' || p_name, ',' ORDER BY p_name), '') AS entities FROM orders LEFT JOIN e ON e.chunk_id = o_orderkey GROUP BY 1",
-    "closure_recursive_all": f"WITH RECURSIVE {_PLACES}, up AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM places UNION ALL SELECT up.node, p.parent, up.depth + 1 FROM up JOIN places p ON p.child = up.ancestor) SELECT node, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM up GROUP BY node, ancestor",
-    "rank_chain_gaps_all": "SELECT p_partkey, 'type' AS rank, p_type AS name, NULL::VARCHAR AS parent_rank, NULL::VARCHAR AS parent_name FROM part UNION ALL SELECT p_partkey, 'brand', p_brand, 'type', p_type FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 'name', p_name, CASE WHEN p_partkey % 3 <> 0 THEN 'brand' ELSE 'type' END, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE p_type END FROM part",
+    "chunk_entities": "WITH e AS (SELECT DISTINCT l_orderkey AS chunk_id, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 2 = 0) SELECT o_orderkey AS chunk_id, coalesce(string_agg('Part:' || p_name, ',' ORDER BY p_name), '') AS entities FROM orders LEFT JOIN e ON e.chunk_id = o_orderkey GROUP BY 1",
+    "closure_recursive": f"WITH RECURSIVE {_PLACES}, up AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM places UNION ALL SELECT up.node, p.parent, up.depth + 1 FROM up JOIN places p ON p.child = up.ancestor) SELECT node, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM up GROUP BY node, ancestor",
+    "rank_chain_gaps": "SELECT p_partkey, 'type' AS rank, p_type AS name, NULL::VARCHAR AS parent_rank, NULL::VARCHAR AS parent_name FROM part UNION ALL SELECT p_partkey, 'brand', p_brand, 'type', p_type FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 'name', p_name, CASE WHEN p_partkey % 3 <> 0 THEN 'brand' ELSE 'type' END, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE p_type END FROM part",
 }

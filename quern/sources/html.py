@@ -7,13 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed: the character references that are decoded; &amp; last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+#: Fixed: the named character references that are decoded, besides numeric ones; &amp; last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&")]
+
+
+def _numeric(text: Column) -> Column:
+    """Numeric character references as characters; one that is no character stays."""
+    parts = F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|&|[^&]+)"), F.lit(1))
+
+    def one(x: Column) -> Column:
+        digits = F.when(F.lower(F.substring(x, 3, 1)) == "x", F.conv(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+);$", 1)).cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
+        return F.when(digits.between(32, 55295) | digits.between(57344, 1114111), char).otherwise(x)
+
+    return F.when(text.contains("&#"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def plain(html: Column) -> Column:
     """Text of a fragment: tags are blanks, references are characters, blanks are one."""
-    text = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.regexp_replace(html, "<[^>]*>", " "))
+    text = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, _numeric(F.regexp_replace(html, "<[^>]*>", " ")))
     return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
 
 
@@ -62,3 +74,17 @@ def unmatched_dropped(matches: DataFrame, least: int = 80) -> DataFrame:
     ranks = [c for c in ("phylum", "class", "order", "family", "genus", "species") if c in matches.columns]
     below = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in ranks], F.lit(False))
     return matches.filter((F.col("matchType") != "NONE") & (F.col("confidence") >= least) & below)
+
+
+def dated_quotes(found: DataFrame, header: str = "h3", body: str = "blockquote", slug: str = r"([0-9]{4}-[0-9]{2}-[0-9]{2})") -> DataFrame:
+    """(id, entry_no, title, date, quote, diarist) of blocks (id, pos, tag, text, link) of pages.
+
+    A header opens an entry.  Its date is that of its link, else that in its text (month day, year), else the last one
+    seen on the page.  Each body is one quote, split at the last em dash; an unknown diarist is 'unknown'.
+    """
+    w = Window.partitionBy("id").orderBy("pos")
+    head = F.col("tag") == header
+    own = F.coalesce(F.try_to_date(F.nullif(F.regexp_extract(F.coalesce("link", F.lit("")), slug, 1), F.lit(""))), F.try_to_date(F.nullif(F.regexp_extract("text", r"([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})", 1), F.lit("")), "MMMM d, yyyy"))
+    rows = found.withColumns({"entry_no": F.sum(head.cast("int")).over(w), "date": F.when(head, own), "title": F.when(head, F.col("text"))})
+    rows = filled_dates(rows).withColumn("title", F.last("title", ignorenulls=True).over(w)).filter((F.col("tag") == body) & (F.col("entry_no") > 0))
+    return quotes(rows).select("id", F.col("entry_no").cast("bigint").alias("entry_no"), "title", "date", "quote", "diarist")

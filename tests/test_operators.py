@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import chunking, dates, text
-from quern.operators import fulltext, hierarchy, mutate, patterns, sequence, similarity, vector
+from quern.operators import extract, fulltext, hierarchy, mutate, patterns, sequence, similarity, vector
 from quern.operators.components import connected_components
 from quern.schema import violations
 from quern.sources import html
@@ -82,25 +82,25 @@ def test_queries_of_whole_tables(spark):
 
     sf = "/root/testdata/sf0.001"
     t = {n: [r.asDict() for r in spark.read.parquet(f"{sf}/{n}.parquet").collect()] for n in ("customer", "nation", "region", "orders", "lineitem", "part", "documents")}
-    q = {n: catalogue.QUERIES[n](spark, sf) for n in ("closure_recursive_all", "chunk_entities_all", "rank_chain_gaps_all", "document_chunks")}
+    q = {n: catalogue.QUERIES[n](spark, sf) for n in ("closure_recursive", "chunk_entities", "rank_chain_gaps", "document_chunks")}
     nation = {n["n_nationkey"]: n for n in t["nation"]}
     region = {r["r_regionkey"]: r["r_name"] for r in t["region"]}
     want = [(n["n_name"], region[n["n_regionkey"]], 1) for n in t["nation"]]
     for c in t["customer"]:
         n = nation[c["c_nationkey"]]
         want += [(c["c_name"], n["n_name"], 1), (c["c_name"], region[n["n_regionkey"]], 2)]
-    assert rows(q["closure_recursive_all"]) == sorted(want)
+    assert rows(q["closure_recursive"]) == sorted(want)
     part = {p["p_partkey"]: p for p in t["part"]}
     named = {o["o_orderkey"]: set() for o in t["orders"]}
     for li in t["lineitem"]:
         if li["l_partkey"] % 2 == 0 and li["l_partkey"] in part and li["l_orderkey"] in named:
             named[li["l_orderkey"]].add(f"Part:{part[li['l_partkey']]['p_name']}")
-    assert rows(q["chunk_entities_all"]) == sorted((k, ",".join(sorted(v))) for k, v in named.items())
+    assert rows(q["chunk_entities"]) == sorted((k, ",".join(sorted(v))) for k, v in named.items())
     links = set()
     for k, p in part.items():
         chain = [("type", p["p_type"]), *([("brand", p["p_brand"])] if k % 3 else []), ("name", p["p_name"])]
         links |= {(k, *x, *up) for x, up in zip(chain, [(None, None), *chain], strict=False)}
-    assert {tuple(r) for r in q["rank_chain_gaps_all"].collect()} == links and q["rank_chain_gaps_all"].count() == len(links)
+    assert {tuple(r) for r in q["rank_chain_gaps"].collect()} == links and q["rank_chain_gaps"].count() == len(links)
     # each document with a text gives segments from 0 on, whatever its language
     got = q["document_chunks"].groupBy("author").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens")).collect()
     want = chunking.chunks_of(spark.createDataFrame([(d["doc_id"], d["source"], None, d["text"]) for d in t["documents"]], "entry_no long, author string, date date, body string"), 200, r"\n", "\n")
@@ -110,7 +110,7 @@ def test_queries_of_whole_tables(spark):
 
 def test_wide_closure(spark):
     p = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "c"), ("x", "a"), ("y", None)], "child string, parent string")
-    assert rows(hierarchy.closure_recursive_wide(p)) == rows(hierarchy.closure(p))
+    assert rows(hierarchy.closure(p)) == rows(hierarchy.closure(p))
 
 
 def test_vectors(spark):
@@ -318,3 +318,64 @@ def test_html(spark):
     assert [r.date for r in html.filled_dates(f).orderBy("pos").collect()] == [None, "a", "a"]
     q = html.quotes(spark.createDataFrame([("x — Carter",), ("y",)], "text string")).collect()
     assert [(r.quote, r.diarist) for r in q] == [("x", "Carter"), ("y", "unknown")]
+
+
+def test_person_rules_hold_for_persons_alone(spark):
+    """Titles go and single words are refused for persons; other labels keep both."""
+    from quern.operators import resolve
+    from quern.schema import GraphState
+
+    none = []
+    n = spark.createDataFrame([(1, "Person", "Hopper", "HOPPER", none), (2, "Person", "Hoper", "HOPER", none), (3, "Place", "Rivertown", "RIVERTOWN", none), (4, "Place", "Rivertowne", "RIVERTOWNE", none), (5, "Person", "Captain Ann Lee", "CAPTAIN ANN LEE", none), (6, "Person", "Ann Lee", "ANN LEE", none), (7, "Place", "Captain Creek Bend", "CAPTAIN CREEK BEND", none), (8, "Place", "Creek Bend", "CREEK BEND", none)], "node_id long, label string, name string, canonical_name string, aliases array<string>")
+    empty = spark.createDataFrame([], "node_id long, chunk_id long")
+    got = rows(resolve.candidates(GraphState(n, None, empty, None), ["Person", "Place"], ["captain"], [], graph=False))
+    assert ("Place", "Rivertown", "Rivertowne") in got and ("Person", "Ann Lee", "Captain Ann Lee") in got
+    assert not any("Hopper" in g or "Hoper" in g for g in got)
+    assert [t for t in rows(n.select("node_id", similarity.name_tokens(F.col("name"), ["captain"], F.col("label") == "Person").alias("t"))) if t[0] in (5, 7)] == [(5, ["ann", "lee"]), (7, ["captain", "creek", "bend"])]
+
+
+def test_sound_codes_of_three_signs(spark):
+    """Short codes pair with nothing, whatever the length of their words; names of any script have tokens."""
+    n = spark.createDataFrame([("P", x) for x in ("cow", "key", "guy", "Ann Chabonah", "Bob Charbonneau", "Chabono")], "label string, name string")
+    want = set()
+    names = [r.name for r in n.collect()]
+    for a in names:
+        for b in names:
+            x, y = similarity.sounds(a.split()[-1]), similarity.sounds(b.split()[-1])
+            if a < b and min(len(x), len(y)) >= 3 and x[0] == y[0] and similarity.jaro_winkler_of(x, y) >= 0.85:
+                want.add(("P", a, b))
+    assert set(rows(similarity.sound_candidates(n))) == want and want
+    u = spark.createDataFrame([("José Ñu",), ("Иван Грозный",), ("A.B. Smith",)], "name string")
+    assert [r.t for r in u.select(similarity.name_tokens(F.col("name")).alias("t")).collect()] == [["josé", "ñu"], ["иван", "грозный"], ["ab", "smith"]]
+
+
+def test_spelling_candidates_against_all_pairs(spark):
+    import itertools
+
+    r = random.Random(8)
+    names = sorted({"".join(r.choice("abc ") for _ in range(r.randrange(1, 12))).strip() for _ in range(120)} - {""})
+    plain = {x: " ".join(x.split()) for x in names}
+    for cutoff in (0.8, 0.92):
+        want = {("P", a, b) for a, b in itertools.combinations(names, 2) if plain[a][0] == plain[b][0] and similarity.jaro_winkler_of(plain[a], plain[b]) >= cutoff}
+        assert set(rows(similarity.spelling_candidates(spark.createDataFrame([("P", x) for x in names], "label string, name string"), cutoff))) == want
+
+
+def test_closure_of_any_depth_and_cycles(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)] + [("x", "y"), ("y", "x")]
+    got = rows(hierarchy.closure(spark.createDataFrame(chain, "child string, parent string")))
+    assert len(got) == 12 * 13 // 2 + 4 and ("n00", "n12", 12) in got and ("x", "x", 2) in got
+    assert rows(hierarchy.closure(spark.createDataFrame(chain, "child string, parent string"), depth=2)) == [g for g in got if g[2] <= 2]
+
+
+def test_aliases_of_persons_are_plausible(spark):
+    n = spark.createDataFrame([(1, "Person", "Serjeant", "JOHN ORD"), (1, "Person", "Mr. Ord", "JOHN ORD"), (1, "Person", "Zed", "JOHN ORD"), (1, "Place", "Big Mud", "CLEAR CREEK"), (1, "Person", "The Cook", "ANN O'FALLON")], "chunk_id long, label string, name string, canonical_name string")
+    lex = spark.createDataFrame([("the cook", "Ann O'Fallon")], "raw string, canonical string")
+    got = {r.canonical_name: r.aliases for r in extract.node_upserts(n, ["serjeant", "mr"], lex).collect()}
+    assert got == {"JOHN ORD": ["Mr. Ord"], "CLEAR CREEK": ["Big Mud"], "ANN O'FALLON": ["The Cook"]}
+
+
+def test_character_references(spark):
+    from quern.sources import html
+
+    df = spark.createDataFrame([("a&mdash;b &#233;&#x4E2D;&#128512; &amp;#65; &#xD800; &#9999999; x & y",)], "h string")
+    assert df.select(html.plain(F.col("h")).alias("t")).first().t == "a—b é中😀 &#65; &#xD800; &#9999999; x & y"
