@@ -1,17 +1,24 @@
 """Toxicity: Levenshtein automata run along a trie of learned terms, with windows of context around each hit.
 
 The lexicon is learned from labelled texts: words, and stems (beginnings of words), that toxic texts hold far more often
-than others.  Stems match beginnings exactly; whole words of at least ``FUZZY`` letters also match with one edit, so
-that misspelled ones are caught.  The automaton of all terms is the product of trie and edit counts, made deterministic
-state by state as words need it; most words leave it after two or three letters.  A hit counts by its context: whether
-it is quoted (marks of quotation around it within ``WINDOW`` words) and whether further hits stand near.
-A logistic regression over these counts, fitted to the labels, gives the score.
+than others, and too often for chance (a bound on the binomial tail, divided by the number of terms tried).  Stems match
+beginnings exactly; whole words of at least ``FUZZY`` letters also match with one edit, so that misspelled ones are caught.
+The automaton of all terms is the product of trie and edit counts, made deterministic state by state as words need it;
+most words leave it after two or three letters.
+
+An exact hit carries its term's log-odds.  One with an edit carries the log-odds of its term against the share of clean
+texts that hold such a misspelling, less ``COST``: terms that ordinary words come near to say little or nothing that way.
+A hit counts by its context: whether it is quoted (within ``WINDOW`` words of an opening mark and of the closing one that
+belongs to it) and whether further hits stand near.  A logistic regression over these counts, fitted to the labels and to
+copies of toxic training texts with one letter of each term changed, gives the score; no weight of a hit can be negative.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +30,10 @@ from quern.llm.labelled import bounded_sample
 from quern.llm.udfs import text_udf
 from quern.operators.lineage import cut
 
-STEMS, FUZZY, WINDOW = (4, 5, 6, 7), 5, 8
-#: Fixed: marks that open or close a quotation.
-QUOTES = "\"“”„«»‘’"
+STEMS, FUZZY, WINDOW, COST = (4, 5, 6, 7), 5, 8, 0.5
+#: Fixed: the marks that close a quotation, by the mark that opens it.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’"}
+_MARK = re.compile(r"(?<![^\W_])[\"“”„«»‘’]|[\"“”„«»‘’](?![^\W_])")
 _WORD = re.compile(r"[^\W_]+")
 _DEAD = -1
 
@@ -39,7 +47,7 @@ class Automaton:
 
     def __init__(self, words: list[str], stems: list[str]):
         self.child: list[dict[str, int]] = [{}]
-        self.whole, self.stem, self.loose = {}, set(), [False]
+        self.whole, self.term, self.stem, self.loose = {}, {}, set(), [False]
         for term, kind in [(w, "word") for w in words] + [(s, "stem") for s in stems]:
             node, path = 0, [0]
             for ch in term:
@@ -54,6 +62,7 @@ class Automaton:
             else:
                 fuzzy = len(term) >= FUZZY
                 self.whole[node] = fuzzy
+                self.term[node] = term
                 if fuzzy:  # edits are worth following only on the way to such a word
                     for n in path:
                         self.loose[n] = True
@@ -64,7 +73,7 @@ class Automaton:
         self.start = self._state(frozenset({(0, 0)}))
 
     def __getstate__(self):
-        return {"child": self.child, "whole": self.whole, "stem": self.stem, "loose": self.loose}
+        return {"child": self.child, "whole": self.whole, "term": self.term, "stem": self.stem, "loose": self.loose}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -106,45 +115,76 @@ class Automaton:
         t = self.moves[s][ch] = self._state(frozenset(out))
         return t
 
-    def run(self, word: str) -> int | None:
+    def _end(self, word: str) -> int:
         s, moves = self.start, self.moves
         for ch in word:
             t = moves[s].get(ch)
             if t is None:
                 t = self._move(s, ch)
             if t < 0:
-                return 0 if t == -2 else None
+                return t
             s = t
-        return self.ends[s]
+        return s
+
+    def run(self, word: str) -> int | None:
+        s = self._end(word)
+        return self.ends[s] if s >= 0 else 0 if s == -2 else None
+
+    def near(self, word: str) -> list[str]:
+        """The terms that the word is with one edit."""
+        s = self._end(word)
+        return sorted(self.term[n] for n, e in self.sets[s] if e == 1 and self.whole.get(n)) if s >= 0 else []
 
 
 NAMES = ["evidence", "strongest", "exact", "any_exact", "rate", "quoted", "fuzzy", "any_fuzzy", "fuzzy_quoted", "near"]
-#: What a hit is believed to say before any label is seen, and the constant.
-PRIOR = np.array([0.3, 0.5, 0.5, 2.5, 0.0, -1.0, 0.3, 1.0, -0.5, 0.5, -3.0])
+#: What a hit is believed to say before any label is seen, and the constant.  No labels tell quotations; their weights stay near these.
+PRIOR = np.array([0.3, 0.5, 0.5, 2.5, 0.0, -1.0, 0.0, 0.0, -0.5, 0.5, -3.0])
+#: A hit never speaks for a clean text, a quoted one never more for a toxic one.
+LOW = np.array([0.0, 0.0, 0.0, 0.0, 0.0, -9.0, 0.0, 0.0, -9.0, 0.0, -30.0])
+HIGH = np.array([9.0, 9.0, 9.0, 9.0, 9.0, 0.0, 9.0, 9.0, 0.0, 9.0, 0.0])
 _KEPT = 200_000
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(opening, closing) places of the quotations of a text; a mark between two letters is an apostrophe, not one of them."""
+    out, opened = [], None
+    for m in _MARK.finditer(text):
+        ch = m.group()
+        if opened and ch in QUOTES[opened[0]]:
+            out.append((opened[1], m.start()))
+            opened = None
+        elif ch in QUOTES and (not opened or opened[0] != '"'):
+            opened = (ch, m.start())
+    return out
+
+
 @dataclass
 class ToxicityModel:
     words: dict[str, float]  # a term's log-odds for toxic texts
     stems: dict[str, float]
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
+    loose: dict[str, float] | None = None  # the same of its misspellings, as far as they say anything
 
     def __post_init__(self):
+        if self.loose is None:
+            self.loose = {w: o - COST for w, o in self.words.items() if len(w) >= FUZZY and o > COST}
         self.automaton, self.known = Automaton(list(self.words), list(self.stems)), {}
 
     def __getstate__(self):
-        return {"words": self.words, "stems": self.stems, "weights": self.weights}
+        return {"words": self.words, "stems": self.stems, "weights": self.weights, "loose": self.loose}
 
     def __setstate__(self, state):
         self.__dict__ |= state
         self.__post_init__()
 
     def known_as(self, word: str) -> tuple[int, float] | None:
-        """(edits, log-odds) of a word that hits; one with an edit has no log-odds of its own."""
+        """(edits, log-odds) of a word that hits."""
         e = self.automaton.run(word)
-        if e is None or e:
-            return None if e is None else (e, 0.0)
+        if e is None:
+            return None
+        if e:
+            odds = max((self.loose[t] for t in self.automaton.near(word) if t in self.loose), default=0.0)
+            return (1, odds) if odds > 0 else None
         return 0, max([self.words.get(word, -9.0), *(self.stems[word[:k]] for k in STEMS if word[:k] in self.stems)])
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
@@ -166,13 +206,11 @@ class ToxicityModel:
         if not hits:
             return x
         quoted = self._quoted(text, hits)
-        exact = [(i, q) for (i, e, _), q in zip(hits, quoted, strict=True) if not e]
-        fuzzy = [(i, q) for (i, e, _), q in zip(hits, quoted, strict=True) if e]
-        odds = [o for (_, e, o), q in zip(hits, quoted, strict=True) if not e and not q]
-        free = sum(not q for _, q in exact)
+        odds = [o for (*_, o), q in zip(hits, quoted, strict=True) if not q]
+        fuzzy = [q for (_, e, _), q in zip(hits, quoted, strict=True) if e]
         x[0], x[1] = min(20.0, sum(odds)) / 5, max(odds, default=0.0) / 5
-        x[2], x[3], x[4], x[5] = np.log1p(free), free > 0, np.sqrt(len(exact) / n), np.log1p(len(exact) - free)
-        loose = sum(not q for _, q in fuzzy)
+        x[2], x[3], x[4], x[5] = np.log1p(len(odds)), len(odds) > 0, np.sqrt(len(hits) / n), np.log1p(len(hits) - len(odds))
+        loose = sum(not q for q in fuzzy)
         x[6], x[7], x[8] = np.log1p(loose), loose > 0, np.log1p(len(fuzzy) - loose)
         at = [i for i, *_ in hits]
         x[9] = np.log1p(sum(b - a <= WINDOW for a, b in zip(at, at[1:], strict=False)))
@@ -180,23 +218,35 @@ class ToxicityModel:
 
     @staticmethod
     def _quoted(text: str, hits: list[tuple]) -> list[bool]:
-        if not any(q in text for q in QUOTES):
+        said = quotations(text.lower())
+        if not said:
             return [False] * len(hits)
-        lower, wanted, out = text.lower(), {i for i, *_ in hits}, []
-        spans = [m.span() for m in _WORD.finditer(lower)]
-        for i in sorted(wanted):
-            before = lower[spans[max(0, i - WINDOW)][0] : spans[i][0]]
-            after = lower[spans[i][1] : spans[min(len(spans) - 1, i + WINDOW)][1]]
-            opened = max((before.rfind(q) for q in QUOTES), default=-1) >= 0 and sum(before.count(q) for q in QUOTES) % 2 == 1
-            out.append(opened and any(q in after for q in QUOTES))
+        starts = [m.start() for m in _WORD.finditer(text.lower())]
+        out = []
+        for i, *_ in hits:
+            k = bisect_right(said, (starts[i], 0)) - 1
+            a, z = said[k] if k >= 0 else (0, 0)
+            inside = k >= 0 and a < starts[i] < z
+            out.append(inside and i - bisect_right(starts, a) < WINDOW and bisect_right(starts, z) - 1 - i < WINDOW)
         return out
 
+    def misspelled(self, text: str) -> str:
+        """The text with one letter changed in every exact hit of enough letters, always the same way."""
+        lower, out, last = text.lower(), [], 0
+        for m in _WORD.finditer(lower):
+            w = m.group()
+            if len(w) >= FUZZY and w in self.words:
+                k = zlib.crc32(f"{w} {m.start()}".encode()) % (len(w) - 1) + 1
+                out += [lower[last : m.start()], w[:k], "x" if w[k] != "x" else "z", w[k + 1 :]]
+                last = m.end()
+        return "".join([*out, lower[last:]])
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts]).reshape(-1, len(NAMES))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -40, 40)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, pull: float = 0.02) -> None:
-        """Newton steps of a weighted logistic regression, pulled towards ``PRIOR``; without rows the prior stays."""
+        """Newton steps of a weighted logistic regression, pulled towards ``PRIOR``, within LOW and HIGH; without rows the prior stays."""
         if not len(y):
             return
         z, w, n = np.column_stack([x, np.ones(len(x))]), PRIOR.copy(), weight.sum()
@@ -205,30 +255,45 @@ class ToxicityModel:
             grad = z.T @ (weight * (p - y)) / n + pull / n**0.5 * (w - PRIOR)
             hess = (z * (weight * p * (1 - p))[:, None]).T @ z / n + pull / n**0.5 * np.eye(len(w))
             step = np.linalg.solve(hess, grad)
-            w = w - step * min(1.0, 2 / (np.abs(step).max() + 1e-9))
+            w = np.clip(w - step * min(1.0, 2 / (np.abs(step).max() + 1e-9)), LOW, HIGH)
         self.weights = w
 
 
-def learn_lexicon(sample: DataFrame, min_rows: int = 3, lift: float = 8.0, most: int = 2000) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems from rows (id, label, text): those in enough toxic texts and ``lift`` times as often as in others."""
+def learn_lexicon(sample: DataFrame, min_rows: int = 3, lift: float = 8.0, risk: float = 0.05) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems with their log-odds from rows (id, label, text).
+
+    Those in ``min_rows`` toxic texts and ``lift`` times as often as in others, unless chance may do that: the chance that
+    a term falls on so many toxic texts, times the number of terms tried, is at most ``risk``.  The bound on their number
+    is that of such terms in the sample, whose size is a parameter of ``fit``.
+    """
 
     def work(texts):
         out = []
         for t in texts:
             words = set(words_of((t or b"").decode("utf-8", "replace")))
-            words = {w for w in words if len(w) <= 40}
             terms = {f"={w}" for w in words if len(w) >= STEMS[0]} | {f"^{w[:k]}" for w in words for k in STEMS if len(w) > k}
             out.append(sorted(terms))
         return pa.array(out, pa.list_(pa.string()))
 
-    n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}  # one row for each label
-    toxic, clean = n.get(1, 0), n.get(0, 0)
+    n = {r[0]: (r[1], r[2] or 0) for r in sample.groupBy("label").agg(F.count("*"), F.sum(F.length("text"))).collect()}  # one row for each label
+    (toxic, much), (clean, little) = n.get(1, (0, 0)), n.get(0, (0, 0))
     if not toxic:
         return {}, {}
+    # chance deals a term to toxic texts by their share of texts or, if they are the longer ones, of all that is written
+    q = max(toxic / (toxic + clean), much / max(1, much + little))
     terms = sample.select("label", F.explode(text_udf("array<string>", work)("text")).alias("term"))
     df = terms.groupBy("term").agg(F.sum((F.col("label") == 1).cast("long")).alias("t"), F.sum((F.col("label") == 0).cast("long")).alias("c"))
-    rate = (F.col("t") / F.lit(float(toxic))) / ((F.col("c") + 0.5) / F.lit(float(clean + 1)))
-    good = df.filter((F.col("t") >= min_rows) & (rate >= lift)).withColumn("r", F.log(rate)).orderBy(F.desc(F.col("t") * F.col("r")), "term").limit(most).collect()  # at most ``most`` terms
+    rate = F.col("t") / (F.col("c") + 0.5) * ((1 - q + 0.5 / (toxic + clean)) / q)
+    tried = cut(df.filter(F.col("t") >= min_rows))
+    share, n_ = F.col("t") / (F.col("t") + F.col("c")), F.col("t") + F.col("c")
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / F.lit(1 - q))).otherwise(0.0)
+    surprise = n_ * (share * F.log(share / F.lit(q)) + rest)  # the tail is at most exp(-surprise)
+    limit = math.log(max(1, tried.count()) / risk)
+    sure = surprise >= limit if clean else F.lit(True)
+    found = tried.filter((rate >= lift) & sure).withColumn("r", F.log(rate)).collect()
+    # copies of one toxic text are no further evidence: a term counts as often as different words stand before it
+    before = _contexts(sample, {r.term for r in found})
+    good = [r for r in found if before.get(r.term, 0) >= min_rows and (not clean or _surprise(min(r.t, before[r.term]), r.c, q) >= limit)]
     words = {r.term[1:]: r for r in good if r.term[0] == "="}
     stems = {r.term[1:]: r for r in good if r.term[0] == "^" and r.r >= math.log(3 * lift)}
     # a stem says more than its word only where it stands for several; the shortest stem covers longer ones
@@ -237,7 +302,30 @@ def learn_lexicon(sample: DataFrame, min_rows: int = 3, lift: float = 8.0, most:
         whole = max((r.t for w, r in words.items() if w.startswith(s)), default=0)
         if not any(s.startswith(k) for k in kept) and whole < 0.8 * stems[s].t:
             kept[s] = float(stems[s].r)
-    return {w: float(r.r) for w, r in sorted(words.items()) if not any(w.startswith(k) for k in kept)}, kept
+    # words that a stem covers stay for their misspellings
+    return {w: float(r.r) for w, r in sorted(words.items()) if len(w) >= FUZZY or not any(w.startswith(k) for k in kept)}, kept
+
+
+def _surprise(t: int, c: int, q: float) -> float:
+    share = t / (t + c)
+    return (t + c) * (share * math.log(share / q) + ((1 - share) * math.log((1 - share) / (1 - q)) if share < 1 else 0.0)) if share > q else 0.0
+
+
+def _contexts(sample: DataFrame, terms: set[str]) -> dict[str, int]:
+    """For each term the number of different words before it in toxic texts."""
+    shared = sample.sparkSession.sparkContext.broadcast(terms)
+
+    def work(texts):
+        out, own = [], shared.value
+        for t in texts:
+            words, got = words_of((t or b"").decode("utf-8", "replace")), set()
+            for last, w in zip(["", *words], words, strict=False):
+                got |= {f"{x} {last}" for x in (f"={w}", *(f"^{w[:k]}" for k in STEMS if len(w) > k)) if x in own}
+            out.append(sorted(got))
+        return pa.array(out, pa.list_(pa.string()))
+
+    pairs = sample.filter("label = 1").select(F.explode(text_udf("array<string>", work)("text")).alias("p")).distinct()
+    return {r[0]: r[1] for r in pairs.groupBy(F.substring_index("p", " ", 1).alias("term")).count().collect()}  # the terms alone
 
 
 def fit(labelled: DataFrame, docs: DataFrame, per_label: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -245,18 +333,45 @@ def fit(labelled: DataFrame, docs: DataFrame, per_label: int = 4000, id_col: str
     counts = {r[0]: r[1] for r in labelled.groupBy(labelled.columns[1]).count().collect() if r[0] is not None}  # one row for each label
     sample = cut(bounded_sample(labelled, docs, per_label, id_col, text_col))
     model = ToxicityModel(*learn_lexicon(sample))
+    model.loose = _loose(sample, model)
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def work(texts):
-        return pa.array([shared.value.features(t.decode("utf-8", "replace") if t is not None else None).tolist() for t in texts], pa.list_(pa.float64()))
+        out, m = [], shared.value
+        for t in texts:
+            text = t.decode("utf-8", "replace") if t is not None else ""
+            out.append([*m.features(text).tolist(), *m.features(m.misspelled(text)).tolist()])
+        return pa.array(out, pa.list_(pa.float64()))
 
     rows = sample.select("id", "label", text_udf("array<double>", work)("text").alias("f")).orderBy("id").toArrow()
-    x, y = np.array(rows.column("f").to_pylist(), float).reshape(-1, len(NAMES)), np.array(rows.column("label").to_pylist(), float)
+    x, y = np.array(rows.column("f").to_pylist(), float).reshape(-1, 2 * len(NAMES)), np.array(rows.column("label").to_pylist(), float)
     total, have = max(1, sum(counts.values())), {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    model.fit(x, y, np.where(y == 1, counts.get(1, 0) / have[1], counts.get(0, 0) / have[0]) * len(y) / total)
+    weight = np.where(y == 1, counts.get(1, 0) / have[1], counts.get(0, 0) / have[0]) * len(y) / total
+    # toxic texts once as they are and once misspelled
+    edited = (y == 1) & (x[:, : len(NAMES)] != x[:, len(NAMES) :]).any(1)
+    model.fit(np.vstack([x[:, : len(NAMES)], x[edited, len(NAMES) :]]), np.concatenate([y, y[edited]]), np.concatenate([np.where(edited, weight / 2, weight), weight[edited] / 2]))
     return model
 
 
+def _loose(sample: DataFrame, model: ToxicityModel) -> dict[str, float]:
+    """Log-odds of each word's misspellings: its share of toxic texts against the share of clean ones that seem to misspell it."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def work(texts):
+        out, near = [], shared.value.automaton
+        for t in texts:
+            words = set(words_of((t or b"").decode("utf-8", "replace")))
+            out.append(sorted({x for w in words if near.run(w) for x in near.near(w)}))
+        return pa.array(out, pa.list_(pa.string()))
+
+    n = sample.filter("label = 0").count()
+    clean = sample.filter("label = 0").select(F.explode(text_udf("array<string>", work)("text")).alias("term")).groupBy("term").count().collect()  # the lexicon's size
+    seen = {r[0]: r[1] for r in clean}
+    # what a term's own odds say of its share of toxic texts, against the misspellings of clean ones
+    odds = {w: min(o, o - math.log((seen.get(w, 0) + 0.5) / 0.5)) - COST for w, o in model.words.items() if len(w) >= FUZZY}
+    return {w: o for w, o in odds.items() if o > 0 and seen.get(w, 0) <= 0.01 * n}
+
+
 def judge(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a double column ``out``, 0 to 1.
 

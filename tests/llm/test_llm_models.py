@@ -123,3 +123,37 @@ def test_pipeline_near_copies_on_both_sides(spark):
     texts = [words, spread, block[:100], block, edge[:100], edge]  # 96 / 121 = 0.79 is below
     df = spark.createDataFrame([(i, " ".join(t), "en", "x", len(" ".join(t))) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == {0, 1, 2, 4, 5}
+
+
+def test_apostrophes_are_no_quotations():
+    q = toxicity.quotations
+    assert q("they don’t and can’t and 'so'") == [] and q("the dogs’ food isn't") == []
+    assert q('a "b" c “d” e „f“ g «h» i ‘j’') == [(2, 4), (8, 10), (14, 16), (20, 22), (26, 28)]
+    assert q("“open") == [] and q("»x«") == [(0, 2)]
+    m = toxicity.ToxicityModel({"idiot": 5.0}, {})
+    typed, plain = m.score(["you don’t see what an idiot you can’t be"])[0], m.score(["you don't see what an idiot you can't be"])[0]
+    assert typed == plain > 0.5 > m.score(["they said “you are an idiot” and left"])[0]
+
+
+def test_misspelled_terms_carry_their_odds():
+    m = toxicity.ToxicityModel({"worthless": 4.0, "scum": 5.0}, {"wort": 2.0})
+    assert m.known_as("worthless") == (0, 4.0) and m.known_as("scun") is None
+    assert toxicity.ToxicityModel({"worthless": 4.0}, {}).known_as("worthlss") == (1, 4.0 - toxicity.COST)
+    text = "such a worthless thing"
+    m = toxicity.ToxicityModel({"worthless": 4.0}, {})
+    assert m.misspelled(text) != text and m.score([m.misspelled(text)])[0] > m.score(["such a fine thing"])[0]
+    assert toxicity.ToxicityModel({"worthless": 4.0}, {}, loose={}).known_as("worthlss") is None
+
+
+def test_held_out_toxic_texts_with_misspelled_terms(spark):
+    """Fitted weights: one letter of each term changed in the held-out toxic texts of the largest table."""
+    from quern.llm.labelled import remainder
+
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{BIG}/labels.parquet").select("doc_id", "toxic").dropna()
+    fold = remainder("doc_id", 5)
+    m = toxicity.fit(labels.filter(fold != 0), docs)
+    assert (m.weights[[0, 1, 2, 3, 6, 7, 9]] >= 0).all() and m.weights[5] <= 0
+    held = docs.join(labels.filter(fold == 0), "doc_id").dropna().collect()
+    bad, fine = [r.text for r in held if r.toxic == 1], [r.text for r in held if r.toxic == 0]
+    caught, wrong = (m.score(bad) >= 0.5).mean(), (m.score(fine) >= 0.5).mean()
+    assert caught >= 0.9 and wrong <= 0.02 and (m.score([m.misspelled(t) for t in bad]) >= 0.5).mean() >= 0.75

@@ -180,3 +180,51 @@ def test_round_trip_of_the_query(spark, tmp_path):
     got = {r.doc_id: r for r in op4_sentencepiece(spark, str(tmp_path)).collect()}
     assert len(got) == len(TEXTS) + 1 and got[len(TEXTS)].round_trip is None
     assert all(got[i].round_trip == ("▁" not in t) for i, t in enumerate(TEXTS))
+
+
+def test_mining_against_counts_of_all_sets(spark):
+    """Every set of tokens that is frequent, confident and beyond chance is covered by a mined rule; every rule counts right."""
+    import itertools
+
+    r = random.Random(11)
+    rows = []
+    for _ in range(400):
+        t = [x for x in "abcdef" if r.random() < 0.4] + (["g"] if r.random() < 0.5 else [])
+        t += ["twin"] if "a" in t else []
+        bad = r.random() < (0.95 if {"a", "b"} <= set(t) else 0.85 if "c" in t and "d" in t else 0.1)
+        rows.append((t, bad))
+    got = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_rows=20, longest=3).collect()
+    base, n = sum(b for t, b in rows if t) / sum(1 for t, _ in rows if t), sum(1 for t, _ in rows if t)
+    count = lambda s: (sum(s <= set(t) for t, _ in rows), sum(b for t, b in rows if s <= set(t)))
+    assert got
+    for x in got:
+        total, bad = count(set(x.tokens))
+        assert (x.support, x.confidence) == (bad, pytest.approx(bad / total)) and bad >= 20 and x.index_token in x.tokens
+        assert not any(set(y.tokens) < set(x.tokens) and y.confidence >= x.confidence for y in got)
+    for k in (1, 2, 3):
+        for s in map(set, itertools.combinations("abcdefg", k)):
+            total, bad = count(s)
+            if bad >= max(20, 0.002 * n) and bad / total >= 0.7 and bad - base * total >= 3 * math.sqrt(base * (1 - base) * total):
+                assert any(set(x.tokens) <= s and x.confidence >= bad / total - 1e-12 for x in got), s
+
+
+def test_matching_against_all_rules(spark):
+    r = random.Random(12)
+    urls = sorted({"http://" + ".".join(r.choice("xyz") for _ in range(2)) + "/" + "/".join(r.choice(["buy", "now", "a", "1"]) for _ in range(r.randrange(4))) for _ in range(80)})
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    tokens = {x.url: set(x.t) for x in df.select("url", urlfilter.tokens_of(F.col("url")).alias("t")).collect()}
+    every = sorted(set().union(*tokens.values()))
+    rules = [(" ".join(t), t, r.choice(t), r.random(), r.randrange(9)) for t in (sorted(r.sample(every, r.randrange(1, 4))) for _ in range(40))]
+    table = spark.createDataFrame(rules, "rule_id string, tokens array<string>, index_token string, confidence double, support bigint")
+    got = {x.url: x.mined for x in urlfilter.match(df, table).collect()}
+    for u in urls:
+        fits = [(c, s, i) for i, t, _, c, s in rules if set(t) <= tokens[u]]
+        assert got.get(u) == (max(fits)[2] if fits else None)
+
+
+def test_equal_and_nearly_equal_long_urls_end(spark):
+    words = [f"w{i}x" for i in range(40)]
+    rows = [(f"http://long.org/{'/'.join(words)}", True)] * 30 + [(f"http://near.org/{'/'.join(w for j, w in enumerate(words) if j != i % 40)}", True) for i in range(60)] + [(f"http://fine.org/a/{i}", False) for i in range(200)]
+    df = spark.createDataFrame(rows, "url string, bad boolean").select("bad", urlfilter.tokens_of(F.col("url")).alias("tokens"))
+    rules = urlfilter.mine(df)
+    assert {x.verdict for x in urlfilter.judge(spark.createDataFrame([(rows[0][0],), (rows[31][0],)], "url string"), rules, []).select("judged.verdict").collect()} == {"block"}
