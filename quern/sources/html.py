@@ -16,7 +16,7 @@ def _numeric(text: Column) -> Column:
     parts = F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|&|[^&]+)"), F.lit(1))
 
     def one(x: Column) -> Column:
-        digits = F.when(F.lower(F.substring(x, 3, 1)) == "x", F.conv(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+);$", 1)).cast("int")
+        digits = F.when(F.lower(F.substring(x, 3, 1)) == "x", F.conv(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+);$", 1)).try_cast("int")
         char = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
         return F.when(digits.between(32, 55295) | digits.between(57344, 1114111), char).otherwise(x)
 
