@@ -185,13 +185,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
     """``docs`` with a struct column ``out``: n_words, n_hit, spans (words from ``first`` up to before ``last``), items, contaminated.
 
     A window is ``width`` consecutive words of an item; an item of fewer words is one window; one without words (or null)
-    has none.  A null or empty text has no words and no hits.  Items repeated or with equal windows all count.  No
+    has none; the windows of an item without an id are hit, but it is not among the items.  A null or empty text has no words and no hits.  Items repeated or with equal windows all count.  No
     benchmark rows: nothing is hit.  A column already called ``out`` is replaced.
 
     Benchmark texts go to every task, so their size is taken first: they are dealt into as many parts of about
     ``shard_bytes`` as it takes, and a text is searched for one part after the other, with no further shuffle.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null and i is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-int(size) // shard_bytes))
     sc, found = docs.sparkSession.sparkContext, []
@@ -200,7 +200,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
         rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
         for i, t in rows.toLocalIterator():
             for w in windows_of(t.encode(), width):
-                owners.setdefault(w, set()).add(i)
+                own = owners.setdefault(w, set())
+                if i is not None:
+                    own.add(i)
         found.append(sc.broadcast(Matcher(list(owners), [sorted(x) for x in owners.values()])) if owners else None)
     used = [b for b in found if b is not None] or [sc.broadcast(Matcher([], []))]
     if docs.columns.count(out):

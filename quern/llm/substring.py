@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.textscan import BLANK, Scan, chunks, mix, runs, scan
-from quern.llm.udfs import estimated_bytes
 
 SEED = 5
 UNIT = 32 << 20
@@ -269,8 +268,9 @@ def common_seeds(docs: DataFrame, text_col: str, sample: int = 2000) -> np.ndarr
 
 
 def bucket_count(docs: DataFrame, each: int = 8 << 20) -> int:
-    """Enough buckets for about ``each`` bytes of strings in each, from the planner's estimate of the input's size."""
-    return int(min(1 << 20, max(16, 6 * estimated_bytes(docs) // each)))
+    """Enough buckets for about ``each`` bytes of strings in each: about 3.5 times the texts, whose bytes are summed first."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(max(16, 7 * size // 2 // each))
 
 
 _RESULT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.string())])
@@ -303,14 +303,17 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     Words are runs of other than x20 and x09-x0D.  A word is removed if it lies in a window of ``width`` words whose sequence
     also starts anywhere else, the same text included; ``kept`` are the other words, joined by one space.  A null or blank
     text has no words and an empty ``kept``; texts of fewer words than ``width`` keep all.  Repeated rows repeat each other.
-    Ids need be neither unique nor present; a column already called ``out`` is replaced.
+    Ids need be neither unique nor present, and may be of any type that has a text; a column already called ``out`` is replaced.
     """
     if width < SEED:
         raise ValueError(f"width must be at least {SEED}")
     docs = docs.drop(out) if out in docs.columns else docs
     text = F.col(text_col)
     # rows equal in id and text are marked alike, so they may share a key
-    k1, k2 = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), (F.xxhash64(F.col(id_col).isNull(), text).bitwiseAND(0x7FFFFFFF)).cast("int")
+    # ids that are no numbers are hashed; rows without one are told apart by 95 bits of hashes of their texts
+    name = F.col(id_col).cast("string")
+    k1 = F.coalesce(name.try_cast("bigint"), F.xxhash64(name, F.when(name.isNull(), text)))
+    k2 = (F.xxhash64(F.col(id_col).isNull(), text).bitwiseAND(0x7FFFFFFF)).cast("int")
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).filter("text is not null")
     common = common_seeds(docs, text_col)
     blobs = keyed.mapInArrow(_mapper(width, bucket_count(keyed), common), _ROW)

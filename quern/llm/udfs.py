@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,9 +19,3 @@ def text_udf(returns: str, work: Callable[[list[bytes | None]], pa.Array]):
 
     call.__annotations__ = {"text": pa.Array, "return": pa.Array}
     return F.arrow_udf(call, returns).asNondeterministic()
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a table's size, to choose numbers of groups by; 256 MB where it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 56 else 256 << 20

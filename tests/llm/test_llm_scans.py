@@ -183,3 +183,24 @@ def test_decontamination_without_items_or_documents(spark):
     assert r == {1: (2, 0, False), 2: (0, 0, False)}
     assert decontaminate.decontaminate(docs.limit(0), none).count() == 0
     assert docs.select(F.sha2(F.array_join(F.array().cast("array<string>"), ","), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_ids_of_any_type_or_none(spark):
+    """Texts of names and of nothing lose the same words as those of numbers; texts without an id are told apart."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} tail{i}" if i % 2 else f"alone{i} " * 50 + f"end{i}" for i in range(12)]
+    texts = [t if i % 2 else " ".join(f"s{i}x{j}" for j in range(60)) for i, t in enumerate(texts)]
+    want = None
+    for ids in (range(12), [f"doc-{i}" for i in range(12)], [None] * 12):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {'long' if ids == range(12) else 'string'}, text string")
+        got = sorted((r.text, r.dedup.n_removed, r.dedup.kept) for r in substring.remove_repeats(df).collect())
+        want = want or got
+        assert got == want and sum(n for _, n, _ in got) == 6 * 40
+
+
+def test_items_without_an_id_are_hit(spark):
+    words = [f"w{i}" for i in range(12)]
+    bench = spark.createDataFrame([(None, " ".join(words)), ("7", " ".join(words[:10]))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "a " + " ".join(words) + " b")], "doc_id long, text string")
+    r = decontaminate.decontaminate(docs, bench).first().decontamination
+    assert (r.n_hit, r["items"], r.contaminated) == (12, ["7"], True)
