@@ -228,3 +228,10 @@ def test_equal_and_nearly_equal_long_urls_end(spark):
     df = spark.createDataFrame(rows, "url string, bad boolean").select("bad", urlfilter.tokens_of(F.col("url")).alias("tokens"))
     rules = urlfilter.mine(df)
     assert {x.verdict for x in urlfilter.judge(spark.createDataFrame([(rows[0][0],), (rows[31][0],)], "url string"), rules, []).select("judged.verdict").collect()} == {"block"}
+
+
+def test_rules_hold_where_the_list_is_silent(spark):
+    rows = [(["h:a", "p:x"], True, True)] * 60 + [(["h:a", "p:y"], i % 4 == 0, False) for i in range(40)] + [(["h:b"], False, False)] * 60
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean, decided boolean")
+    assert sorted(tuple(x.tokens) for x in urlfilter.mine(df.drop("decided"), min_confidence=0.65).collect()) == [("h:a",), ("p:x",)]
+    assert [tuple(x.tokens) for x in urlfilter.mine(df, min_confidence=0.65).collect()] in ([("p:x",)], [("h:a", "p:x"), ("p:x",)])
