@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quern.operators.sequence import with_sequence
 
-_STRINGS = "array<string>"
-
 
 def token_count(text: Column) -> Column:
     """Runs of word characters, and single other signs."""
@@ -23,41 +21,41 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: x != "")
 
 
-def _pack(units: Column, most: int, joiner: str) -> Column:
-    """Units joined while their counts (struct t, n) sum to ``most`` at most; a larger unit is alone."""
-    empty = F.array().cast(_STRINGS)
-    start = F.struct(empty.alias("out"), empty.alias("buf"), F.lit(0).alias("n"))
-    flushed = lambda a: F.when(F.size(a["buf"]) > 0, F.array_append(a["out"], F.array_join(a["buf"], joiner))).otherwise(a["out"])
-
-    def step(a, u):
-        fits = (F.size(a["buf"]) == 0) | (a["n"] + u["n"] <= most)
-        return F.when(fits, F.struct(a["out"].alias("out"), F.array_append(a["buf"], u["t"]).alias("buf"), (a["n"] + u["n"]).alias("n"))).otherwise(F.struct(flushed(a).alias("out"), F.array(u["t"]).alias("buf"), u["n"].alias("n")))
-
-    return F.aggregate(units, start, step, flushed)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def pack_text(text: Column, most: int = 500, separator: str = r"\n\s*\n", joiner: str = "\n\n") -> Column:
     """Paragraphs packed greedily to ``most`` tokens.
 
     A paragraph beyond ``most`` closes the piece before it and is packed by sentences, whose last piece does not take the
-    next paragraph; a sentence beyond ``most`` is a piece.  A text without paragraphs is one piece, itself.
+    next paragraph; a sentence beyond ``most`` is a piece.  A text without paragraphs, or null, is one piece, itself.
+
+    Units (a paragraph, or each sentence of a large one, with that paragraph's number) are counted once; the fold sees
+    numbers alone and keeps where pieces begin, so no string is copied before the pieces are joined.
     """
-    counted = lambda x: F.struct(x.alias("t"), token_count(x).alias("n"))
-    units = F.transform(paragraphs(text, separator), counted)
-    empty = F.array().cast(_STRINGS)
-    start = F.struct(empty.alias("out"), empty.alias("buf"), F.lit(0).alias("n"))
-    flushed = lambda a: F.when(F.size(a["buf"]) > 0, F.array_append(a["out"], F.array_join(a["buf"], joiner))).otherwise(a["out"])
+    unit = lambda t, n, p: F.struct(t.alias("t"), n.alias("n"), p.alias("p"))
+
+    def of_paragraph(x, i):
+        by_sentence = F.transform(sentences(x), lambda s: unit(s, token_count(s), i))
+        return _bound(token_count(x), lambda n: F.when(n > most, by_sentence).otherwise(F.array(unit(x, n, F.lit(-1)))))
 
     def step(a, u):
-        by_sentence = _pack(F.transform(sentences(u["t"]), counted), most, " ")
-        large = F.struct(F.concat(flushed(a), by_sentence).alias("out"), empty.alias("buf"), F.lit(0).alias("n"))
-        fits = (F.size(a["buf"]) == 0) | (a["n"] + u["n"] <= most)
-        joined = F.struct(a["out"].alias("out"), F.array_append(a["buf"], u["t"]).alias("buf"), (a["n"] + u["n"]).alias("n"))
-        fresh = F.struct(flushed(a).alias("out"), F.array(u["t"]).alias("buf"), u["n"].alias("n"))
-        return F.when(u["n"] > most, large).when(fits, joined).otherwise(fresh)
-
-    got = F.aggregate(units, start, step, flushed)
-    return F.when(F.size(got) > 0, got).otherwise(F.array(text))
+        fresh = (a["p"] != u["p"]) | (a["n"] + u["n"] > most)
+        return F.struct(F.when(fresh, F.array_append(a["starts"], a["i"])).otherwise(a["starts"]).alias("starts"), u["p"].alias("p"), F.when(fresh, u["n"]).otherwise(a["n"] + u["n"]).alias("n"), (a["i"] + 1).alias("i"))
+
+    def pieces(units):
+        def piece(a, start, k):
+            part = F.slice(units, start + 1, F.coalesce(F.get(a["starts"], k + 1), a["i"]) - start)
+            words = F.transform(part, lambda u: u["t"])
+            return F.when(F.get(units, start)["p"] < 0, F.array_join(words, joiner)).otherwise(F.array_join(words, " "))
+
+        start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(-2).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+        cut = lambda a: F.when(a["i"] > 0, F.transform(a["starts"], lambda s, k: piece(a, s, k))).otherwise(F.array(text))
+        return F.aggregate(units, start, step, cut)
+
+    return F.coalesce(_bound(F.flatten(F.transform(paragraphs(text, separator), of_paragraph)), pieces), F.array(text))
 
 
 def chunk_id(sequence: Column, author: Column, date: Column, segment: Column) -> Column:
