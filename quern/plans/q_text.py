@@ -35,7 +35,13 @@ def vector_postfilter(spark, d):
 
 def fulltext_topk(spark, d):
     docs = table(spark, d, "documents")
-    return fulltext.search(fulltext.index(docs, "doc_id", F.col("text")), "the that worthless idiot", fulltext.corpus_size(docs, F.col("text")), 10)
+    body, word = F.col("text"), fulltext.ASCII
+    return fulltext.search(fulltext.index(docs, "doc_id", body, word), "the that worthless idiot", fulltext.corpus_size(docs, body, word), 10, word=word)
+
+
+def fulltext_any_script(spark, d):
+    docs, body = table(spark, d, "documents"), F.col("text")
+    return fulltext.search(fulltext.index(docs, "doc_id", body), "für être", fulltext.corpus_size(docs, body), 10)
 
 
 def chunk_ids(spark, d):
@@ -215,7 +221,7 @@ def event_sessions(spark, d):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_by_label, vector_postfilter, fulltext_topk, chunk_ids, text_chunking, document_chunks, html_blocks, html_entries, cooccurrence_edges, node_similarity_topk, jw_candidates, token_containment, alias_candidates, metaphone_candidates, candidate_union, components, merge_nodes, merged_aliases, mode_canonical, schema_validate_flip, edge_upserts, upsert_orders, relabel_places, precedence_flags, append_aliases, title_case, alias_dedupe, describe_entity, parse_dates, json_props, history_last6, quote_passages, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_by_label, vector_postfilter, fulltext_topk, fulltext_any_script, chunk_ids, text_chunking, document_chunks, html_blocks, html_entries, cooccurrence_edges, node_similarity_topk, jw_candidates, token_containment, alias_candidates, metaphone_candidates, candidate_union, components, merge_nodes, merged_aliases, mode_canonical, schema_validate_flip, edge_upserts, upsert_orders, relabel_places, precedence_flags, append_aliases, title_case, alias_dedupe, describe_entity, parse_dates, json_props, history_last6, quote_passages, event_windows, event_sessions)}
 
 _COS = "v AS (SELECT e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0)"
 _CO = "m AS (SELECT DISTINCT l_partkey AS n, l_orderkey AS c FROM lineitem), co AS (SELECT p.n AS a, q.n AS b, count(*) AS weight FROM m p JOIN m q ON p.c = q.c AND p.n < q.n GROUP BY 1, 2)"
@@ -244,6 +250,9 @@ SQL = {
     "vector_postfilter": f"WITH {_COS}, {_BEST} SELECT * FROM b WHERE vec_id % 2 = 0",
     "fulltext_topk": f"""WITH d AS (SELECT doc_id, {_TOK} AS t FROM documents), p AS (SELECT doc_id, len(t) AS length, unnest(t) AS token FROM d),
 tf AS (SELECT doc_id, length, token, count(*) AS tf FROM p WHERE token IN ('the', 'that', 'worthless', 'idiot') GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS m FROM d)
+SELECT doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))), 6) AS score FROM tf JOIN df USING (token), s GROUP BY doc_id ORDER BY score DESC, id LIMIT 10""",
+    "fulltext_any_script": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS t FROM documents), p AS (SELECT doc_id, len(t) AS length, unnest(t) AS token FROM d),
+tf AS (SELECT doc_id, length, token, count(*) AS tf FROM p WHERE token IN ('für', 'être') GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS m FROM d)
 SELECT doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))), 6) AS score FROM tf JOIN df USING (token), s GROUP BY doc_id ORDER BY score DESC, id LIMIT 10""",
     "chunk_ids": "SELECT o_orderkey, substr(sha1(o_orderkey || '|' || o_orderpriority || '|' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '|0'), 1, 16) AS chunk_id FROM orders",
     "cooccurrence_edges": f"WITH {_CO} SELECT a, b, weight FROM co WHERE weight >= 2",

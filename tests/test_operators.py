@@ -127,6 +127,16 @@ def test_fulltext(spark):
     assert fulltext.search(fulltext.index(d, "id", F.col("t")), "", fulltext.corpus_size(d, F.col("t"))).count() == 0
 
 
+def test_fulltext_any_script_and_stored(spark, tmp_path):
+    d = spark.createDataFrame([(1, "Lange Straße"), (2, "Большой дом"), (3, "stra e"), (4, "東京 タワー"), (5, "हिन्दी भाषा"), (6, "")], "id long, t string")
+    fulltext.store(d, "id", F.col("t"), str(tmp_path))
+    for query, want in (("STRAßE", [1]), ("ДОМ", [2]), ("stra", [3]), ("タワー", [4]), ("हिन्दी", [5]), ("nothing", [])):
+        postings, size = fulltext.stored(spark, str(tmp_path))
+        stored = fulltext.search(postings, query, size).collect()
+        assert [r.id for r in stored] == want
+        assert stored == fulltext.search(fulltext.index(d, "id", F.col("t")), query, fulltext.corpus_size(d, F.col("t"))).collect()
+
+
 def test_jaro_winkler_against_duckdb():
     import duckdb
 
