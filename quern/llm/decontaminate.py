@@ -10,6 +10,7 @@ The scan is vectorised over lanes: a text is cut into stretches that are searche
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.textscan import LOWER, NON_ALNUM, chunks
 from quern.llm.udfs import text_udf
+from quern.operators.lineage import cut
 
 _TABLE = bytes(32 if NON_ALNUM[b] else b for b in LOWER)
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 LANE = 2048
+SALTS = 16
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -46,15 +49,14 @@ def _blocks(data: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class WuManber:
-    """Patterns whose shortest has ``m`` bytes. ``shift`` and the bucket index go by a hash of a block."""
+    """Patterns whose shortest has ``m`` bytes. ``shift`` goes by a hash of a block, buckets are runs of equal ``keys``."""
 
     patterns: list[bytes]
     bits: int = 0
     m: int = 0
     block: int = 0
     shift: np.ndarray = field(default=None)
-    bucket_start: np.ndarray = field(default=None)
-    bucket_end: np.ndarray = field(default=None)
+    keys: np.ndarray = field(default=None)
     members: np.ndarray = field(default=None)
     lead: np.ndarray = field(default=None)
 
@@ -63,15 +65,13 @@ class WuManber:
         self.block = min(8, max(2, self.m // 2))
         self.bits = int(np.clip(np.ceil(np.log2(len(self.patterns) * 64 + 1)), 12, 24))
         far = self.m - self.block + 1
-        self.shift = np.full(1 << self.bits, far, np.int32)
+        self.shift = np.full(1 << self.bits, min(far, 255), np.uint8)  # a jump too short loses nothing
         heads = np.frombuffer(b"".join(p[: self.m] for p in self.patterns), np.uint8).reshape(-1, self.m)
         for at in range(far):  # the block that begins at ``at`` lets the window jump far - 1 - at
             keys = self.key(sum(heads[:, at + i].astype(np.uint64) << np.uint64(8 * i) for i in range(self.block)))
-            self.shift[keys] = np.minimum(self.shift[keys], far - 1 - at)
+            self.shift[keys] = np.minimum(self.shift[keys], min(far - 1 - at, 255))
         order = np.argsort(keys, kind="stable")
-        self.members = order
-        self.bucket_start = np.searchsorted(keys[order], np.arange(1 << self.bits), "left").astype(np.int32)
-        self.bucket_end = np.searchsorted(keys[order], np.arange(1 << self.bits), "right").astype(np.int32)
+        self.members, self.keys = order.astype(np.int32), keys[order].astype(np.int32)
         self.lead = sum(heads[:, i].astype(np.uint64) << np.uint64(8 * i) for i in range(self.block))
 
     def key(self, blocks: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ class WuManber:
         hits = []
         while len(at):
             keys = self.key(blocks[at + off])
-            jump = self.shift[keys]
+            jump = self.shift[keys].astype(np.int64)
             zero = jump == 0
             if zero.any():
                 hits.append((at[zero], keys[zero]))
@@ -98,8 +98,10 @@ class WuManber:
         if not hits:
             return []
         place, keys = (np.concatenate(x) for x in zip(*hits, strict=True))
-        sizes = self.bucket_end[keys] - self.bucket_start[keys]
-        which = np.repeat(self.bucket_start[keys] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        keys = keys.astype(np.int32)
+        first = np.searchsorted(self.keys, keys, "left")
+        sizes = np.searchsorted(self.keys, keys, "right") - first
+        which = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         place, pattern = np.repeat(place, sizes), self.members[which]
         same = blocks[place] == self.lead[pattern]
         found = []
@@ -115,7 +117,7 @@ class Matcher:
     """Wu-Manber tables by class of length: a short pattern must not shorten the jumps of the long ones."""
 
     patterns: list[bytes]
-    owners: list[list[str]]
+    owners: list[tuple[str, ...]]
 
     def __post_init__(self):
         classes: dict[int, list[int]] = {}
@@ -181,40 +183,63 @@ def _searcher(tables):
     return search
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "decontamination", shard_bytes: int = 16 << 20) -> DataFrame:
+def _matcher(items: DataFrame, width: int) -> Matcher | None:
+    """Tables of the windows of items (i, t); None without a window.  Equal windows are one, owned by all their items."""
+    owners: dict[bytes, tuple[str, ...] | set[str]] = {}
+    for i, t in items.toLocalIterator():
+        own = () if i is None else (i,)
+        for w in windows_of(t.encode(), width):
+            held = owners.setdefault(w, own)
+            if isinstance(held, set):
+                held.update(own)
+            elif held is not own:
+                owners[w] = {*held, *own}
+    return Matcher(list(owners), [tuple(sorted(x)) for x in owners.values()]) if owners else None
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "decontamination", shard_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, spans (words from ``first`` up to before ``last``), items, contaminated.
 
     A window is ``width`` consecutive words of an item; an item of fewer words is one window; one without words (or null)
     has none; the windows of an item without an id are hit, but it is not among the items.  A null or empty text has no words and no hits.  Items repeated or with equal windows all count.  No
     benchmark rows: nothing is hit.  A column already called ``out`` is replaced.
 
-    Benchmark texts go to every task, so their size is taken first: they are dealt into as many parts of about
-    ``shard_bytes`` as it takes, and a text is searched for one part after the other, with no further shuffle.
+    Tables of the benchmark go to every task, so its size is taken first: items are dealt into as many parts of about
+    ``shard_bytes`` (and an item) as it takes, and one part's tables are alive at a time.  The first part is searched in
+    the plan of the result; each other one in a pass of its own, whose hits (by digest of the text) are written to the
+    checkpoint folder before its tables are freed, and are joined to the documents at the end.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-int(size) // shard_bytes))
-    sc, found = docs.sparkSession.sparkContext, []
-    for k in range(parts):
-        owners: dict[bytes, set[str]] = {}
-        rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        for i, t in rows.toLocalIterator():
-            for w in windows_of(t.encode(), width):
-                own = owners.setdefault(w, set())
-                if i is not None:
-                    own.add(i)
-        found.append(sc.broadcast(Matcher(list(owners), [sorted(x) for x in owners.values()])) if owners else None)
-    used = [b for b in found if b is not None] or [sc.broadcast(Matcher([], []))]
+    sc, others = docs.sparkSession.sparkContext, []
+    for k in range(parts - 1, 0, -1):
+        matcher = _matcher(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k), width)
+        if matcher is None:
+            continue
+        tables = sc.broadcast(matcher)
+        del matcher
+        hits = docs.select(F.col(text_col).alias("t")).filter("t is not null").withColumn("r", text_udf(_PART, _searcher(tables))(F.col("t"))).filter(F.size("r.spans") > 0)
+        others.append(cut(hits.select(F.sha2("t", 256).alias("_key"), "r.spans", "r.items").dropDuplicates(["_key"])))
+        tables.destroy()
+    first = _matcher(items if parts == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == 0), width)
+    tables = sc.broadcast(first or Matcher([], []))
     if docs.columns.count(out):
         docs = docs.drop(out)
-    for k, tables in enumerate(used):
-
-        docs = docs.withColumn(f"_part{k}", text_udf(_PART, _searcher(tables))(F.col(text_col)))
-    names = [f"_part{k}" for k in range(len(used))]
-    spans = F.array_sort(F.concat(*[F.col(f"{n}.spans") for n in names])) if len(names) > 1 else F.col("_part0.spans")
-    items_ = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.items") for n in names]))) if len(names) > 1 else F.col("_part0.items")
-    docs = docs.withColumn("_spans", spans)
-    covered = "aggregate(_spans, named_struct('n', 0L, 'to', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.last - greatest(s.first, a.to)), 'to', greatest(a.to, s.last)), a -> a.n)"
+    free = "_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    part, whole, owners, more, whose, key, salt = (free + n for n in ("part", "spans", "items", "more", "whose", "key", "salt"))
+    docs = docs.withColumn(part, text_udf(_PART, _searcher(tables))(F.col(text_col)))
+    spans, items_ = F.col(f"{part}.spans"), F.col(f"{part}.items")
+    if others:  # copies of one text are dealt over SALTS keys, each with the text's hits
+        all_ = functools.reduce(DataFrame.unionAll, others).withColumnRenamed("_key", key).groupBy(key).agg(F.flatten(F.collect_list("spans")).alias(more), F.flatten(F.collect_list("items")).alias(whose))
+        all_ = all_.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = docs.withColumn(key, F.sha2(F.col(text_col), 256)).withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(all_, [key, salt], "left").drop(key, salt)
+        none = lambda c: F.coalesce(F.col(c), F.array().cast(docs.schema[c].dataType))
+        spans, items_ = F.array_sort(F.concat(spans, none(more))), F.array_sort(F.array_distinct(F.concat(items_, none(whose))))
+    docs = docs.withColumn(whole, spans).withColumn(owners, items_)
+    covered = f"aggregate({whole}, named_struct('n', 0L, 'to', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.last - greatest(s.first, a.to)), 'to', greatest(a.to, s.last)), a -> a.n)"
     hit = F.expr(covered)
-    return docs.withColumn(out, F.struct(F.col("_part0.n_words").alias("n_words"), hit.alias("n_hit"), F.col("_spans").alias("spans"), items_.alias("items"), (hit > 0).alias("contaminated"))).drop("_spans", *names)
+    return docs.withColumn(out, F.struct(F.col(f"{part}.n_words").alias("n_words"), hit.alias("n_hit"), F.col(whole).alias("spans"), F.col(owners).alias("items"), (hit > 0).alias("contaminated"))).drop(part, whole, owners, more, whose)
 

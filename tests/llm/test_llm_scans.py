@@ -204,3 +204,16 @@ def test_items_without_an_id_are_hit(spark):
     docs = spark.createDataFrame([(1, "a " + " ".join(words) + " b")], "doc_id long, text string")
     r = decontaminate.decontaminate(docs, bench).first().decontamination
     assert (r.n_hit, r["items"], r.contaminated) == (12, ["7"], True)
+
+
+def test_decontamination_by_parts_keeps_columns_and_copies(spark):
+    """Columns of any name stay, copies of one text all get the hits of all parts, and the parts' tables are gone by then."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(6)]
+    texts = [items[i % 6][1] + " and " + items[(i + 1) % 6][1] for i in range(6)] * 3 + ["clean text", None]
+    docs = spark.createDataFrame([(i, t, i, i, i) for i, t in enumerate(texts)], "doc_id long, text string, _key int, _spans int, _part int")
+    got = decontaminate.decontaminate(docs.repartition(3), spark.createDataFrame(items, "item_id long, text string"), shard_bytes=60)
+    assert got.columns == [*docs.columns, "decontamination"]
+    for r in got.collect():
+        d = r.decontamination
+        assert r._key == r._spans == r._part == r.doc_id
+        assert (d.n_hit, d["items"]) == ((24, sorted({str(r.doc_id % 6), str((r.doc_id + 1) % 6)})) if r.doc_id < 18 else (0, []))
