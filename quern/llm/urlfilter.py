@@ -1,20 +1,25 @@
 """URL filters: a rule list first, association rules mined from labelled URLs for the rest.
 
 A URL is a transaction of tokens (host labels, host suffixes, path words, names of parameters; numbers are left out, they
-identify single pages).  Spark's FP-growth mines the frequent sets of tokens that occur together with the mark of a bad
-page; rules ``tokens => bad`` are kept by support and confidence, if the confidence is above the share of bad pages beyond
-chance (a normal bound of ``SURE`` deviations), and only while no shorter rule is as confident.  A rule is filed in an
-inverted index under its rarest token, so a URL meets only rules that share it, and must hold all tokens.
-
-Before mining, infrequent tokens go (no frequent set holds them), tokens of the same URLs are one (all sets with one of
-them are as frequent), and a URL that still has more than ``most_tokens`` keeps those that say most about the mark, since
-FP-growth grows with two to the power of a URL's tokens.
+identify single pages).  FP-growth mines the frequent sets of tokens that occur together with the mark of a bad page; rules
+``tokens => bad`` are kept by support and confidence, if the confidence is above the share of bad pages beyond chance (a
+normal bound of ``SURE`` deviations), and only while no shorter rule is as confident.  A rule is filed in an inverted index
+under its rarest token, so a URL meets only rules that share it, and must hold all tokens.
+
+All tokens of a URL take part, however many.  Sets grow as in FP-growth, from the rarest token on by conditional pattern
+bases: what stands before the last token of a set in the transactions that hold it, equal ones merged with their counts.
+Here the bases of all sets of one size are rows of one table, so that sets grow no longer than asked for (Spark's own
+FP-growth makes all of them, two to the power of a URL's tokens).  Left out is only what cannot be kept: infrequent sets,
+sets that fit the same rows as one of their parts (the shorter rule is as confident), and what is longer than a rule
+without an exception.  Tokens of the same URLs are one.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.lineage import cut
@@ -56,53 +61,58 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(got), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 20, min_confidence: float = 0.7, longest: int = 4, most_tokens: int = 12) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 20, min_confidence: float = 0.7, longest: int = 4) -> DataFrame:
     """(rule_id, tokens, index_token, confidence, support) from rows (tokens, bad), and ``decided`` where labels come from two sources.
 
     A rule must then hold on the rows that are not ``decided``, too, which are those that it is for.
 
     Rows with null tokens or label, or without tokens, teach nothing.  No labelled or no bad rows: no rules.  Rules have up to
-    ``longest`` tokens and fit ``min_rows`` rows and a share of ``min_support`` of them at least.
+    ``longest`` tokens and fit ``min_rows`` bad rows and a share of ``min_support`` of all rows at least.
     """
     rows = cut(labelled.filter("tokens is not null and bad is not null and size(tokens) > 0").select("tokens", "bad", (F.col("decided") if "decided" in labelled.columns else F.lit(True)).alias("decided")).withColumn("row", F.monotonically_increasing_id()))
     n, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
-    empty = "rule_id string, tokens array<string>, index_token string, confidence double, support bigint"
     if not n_bad:
-        return rows.sparkSession.createDataFrame([], empty)
-    least, base = min(1.0, max(min_support, min_rows / n)), n_bad / n
-    each = rows.select("row", "bad", F.explode(F.array_distinct("tokens")).alias("t"))
+        return rows.sparkSession.createDataFrame([], "rule_id string, tokens array<string>, index_token string, confidence double, support bigint")
+    base = n_bad / n
+    least = ceil(min(n, max(min_support * n, min_rows)) - 1e-9)
+    counts = ["total", "of_bad", "free", "free_bad"]
+    sums = [F.sum(c).alias(c) for c in counts]
+
+    def judged(sets: DataFrame) -> DataFrame:
+        """``sets`` (set, counts, beat: the best confidence of a rule of fewer of the same tokens) with confidence, kept and open_ (may grow)."""
+        sets = sets.withColumn("confidence", F.col("of_bad") / F.col("total"))
+        sure = F.col("of_bad") - F.lit(base) * F.col("total") >= F.lit(SURE * (base * (1 - base)) ** 0.5) * F.sqrt("total")
+        there = F.when(F.col("free") > 0, F.col("free_bad") / F.col("free")).otherwise(1.0)
+        rule = (F.col("confidence") >= min_confidence) & sure & (there >= min_confidence)
+        sets = sets.withColumn("best", F.greatest("beat", F.when(rule, F.col("confidence")).otherwise(0.0)))
+        return cut(sets.withColumn("kept", rule & (F.col("confidence") > F.col("beat"))).withColumn("open_", F.col("best") < 1.0))
+
+    each = rows.select("row", "bad", "decided", F.explode(F.array_distinct("tokens")).alias("t")).filter("t is not null")
     h = lambda seed: F.sum(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 40)))  # noqa: E731  the same URLs, the same sums
-    often = each.groupBy("t").agg(F.count("*").alias("total"), F.count_if("bad").alias("of_bad"), h(1).alias("h1"), h(2).alias("h2")).filter(F.col("total") >= least * n)
-    classes = cut(often.groupBy("total", "of_bad", "h1", "h2").agg(F.min("t").alias("t")))
-    tells = F.abs(F.col("of_bad") - F.lit(base) * F.col("total")) / F.sqrt("total")
-    by = Window.partitionBy("row").orderBy(F.desc("tells"), "t")
-    kept = each.join(classes.select("t", tells.alias("tells")), "t").withColumn("r", F.row_number().over(by)).filter(F.col("r") <= most_tokens)
-    lists = kept.groupBy("row", "bad").agg(F.collect_list("t").alias("tokens"))
-    marked = lists.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    # rows without a frequent token count, too
-    share = least * n / max(1, marked.count())
-    if share > 1:
-        return rows.sparkSession.createDataFrame([], empty)
-    sets = cut(FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(marked).freqItemsets.filter(F.size("items") <= longest + 1))
-    plain = sets.filter(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("total"))
-    bad = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("support"))
-    rules = bad.join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("total")).filter(F.col("confidence") >= min_confidence)
-    rules = rules.filter(F.col("support") - F.lit(base) * F.col("total") >= F.lit(SURE * (base * (1 - base)) ** 0.5) * F.sqrt("total"))
-    if "decided" in labelled.columns:
-        free = rows.filter("not decided").select("bad", F.col("tokens").alias("has"), F.explode("tokens").alias("k"))
-        met = rules.select("tokens", F.col("tokens")[0].alias("k")).join(free, "k").filter(F.size(F.array_except("tokens", "has")) == 0)
-        tried = met.groupBy("tokens").agg((F.count_if("bad") / F.count("*")).alias("there"))
-        rules = rules.join(tried, "tokens", "left").filter(F.coalesce("there", F.lit(1.0)) >= min_confidence).drop("there")
-    rules = rules.withColumn("rule_id", F.array_join("tokens", " "))
-    # pruned: a rule with fewer of the same tokens is at least as confident
-    part = rules.withColumn("t", F.explode("tokens"))
-    other = part.select("t", F.col("tokens").alias("tokens_"), F.col("confidence").alias("confidence_"), F.col("rule_id").alias("rule_"))
-    worse = part.join(other, "t").filter((F.size("tokens_") < F.size("tokens")) & (F.size(F.array_except("tokens_", "tokens")) == 0) & (F.col("confidence_") >= F.col("confidence"))).select("rule_id").distinct()
-    rules = rules.join(worse, "rule_id", "left_anti")
-    often = plain.filter(F.size("tokens") == 1).select(F.col("tokens")[0].alias("t"), F.col("total").alias("n"))
-    rarest = Window.partitionBy("rule_id").orderBy("n", "t")
-    index = rules.select("rule_id", F.explode("tokens").alias("t")).join(often, "t").withColumn("r", F.row_number().over(rarest)).filter("r = 1").select("rule_id", F.col("t").alias("index_token"))
-    return rules.join(index, "rule_id").select("rule_id", "tokens", "index_token", "confidence", "support")
+    own = [F.count("*").alias("total"), F.count_if("bad").alias("of_bad"), F.count_if(~F.col("decided")).alias("free"), F.count_if(~F.col("decided") & F.col("bad")).alias("free_bad")]
+    often = each.groupBy("t").agg(*own, h(1).alias("h1"), h(2).alias("h2")).filter(F.col("of_bad") >= least)
+    single = often.groupBy(*counts, "h1", "h2").agg(F.min("t").alias("t"))
+    found = [judged(single.select(F.array("t").alias("set"), *counts, F.lit(0.0).alias("beat")))]
+    # the most frequent token first, so a set begins with its rarest
+    items = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("all", "t")))), lambda x: x.t)
+    lists = each.join(found[0].filter("open_").select(F.col("set")[0].alias("t"), F.col("total").alias("all")), "t").groupBy("row", "bad", "decided").agg(items.alias("before"))
+    bases = lists.groupBy("before").agg(*own).withColumn("set", F.array().cast("array<string>"))
+    for size in range(1, longest + 1):
+        grown = bases.select("set", "before", F.posexplode("before").alias("p", "t"), *counts)
+        grown = grown.select(F.array_append("set", F.col("t")).alias("set"), F.slice("before", F.lit(1), F.col("p")).alias("before"), *counts)
+        # no set grows from the last size, only counts are needed
+        grown = cut(grown.groupBy("set", "before").agg(*sums) if size < longest else grown.groupBy("set").agg(*sums))
+        if size > 1:
+            many = grown.groupBy("set").agg(*sums).filter(F.col("of_bad") >= least)
+            parts = many.select("set", *counts, F.explode(F.transform(F.sequence(F.lit(1), F.size("set")), lambda i: F.concat(F.slice("set", F.lit(1), i - 1), F.slice("set", i + 1, F.lit(size))))).alias("part"))
+            known = found[-1].filter("open_").select(F.col("set").alias("part"), F.col("total").alias("of_part"), "best")
+            parts = parts.join(known, "part").filter("total < of_part").groupBy("set", *counts).agg(F.max("best").alias("beat"), F.count("*").alias("n"))
+            found.append(judged(parts.filter(F.col("n") == size).drop("n")))
+        if size == longest or found[-1].filter("open_").isEmpty():
+            break
+        bases = grown.join(found[-1].filter("open_").select("set"), "set", "left_semi").filter(F.size("before") > 0)
+    rules = reduce(DataFrame.unionByName, found).filter("kept").select(F.array_sort("set").alias("tokens"), F.col("set")[0].alias("index_token"), "confidence", F.col("of_bad").alias("support"))
+    return cut(rules.select(F.array_join("tokens", " ").alias("rule_id"), "tokens", "index_token", "confidence", "support"))
 
 
 def match(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:

@@ -235,3 +235,35 @@ def test_rules_hold_where_the_list_is_silent(spark):
     df = spark.createDataFrame(rows, "tokens array<string>, bad boolean, decided boolean")
     assert sorted(tuple(x.tokens) for x in urlfilter.mine(df.drop("decided"), min_confidence=0.65).collect()) == [("h:a",), ("p:x",)]
     assert [tuple(x.tokens) for x in urlfilter.mine(df, min_confidence=0.65).collect()] in ([("p:x",)], [("h:a", "p:x"), ("p:x",)])
+
+
+def test_all_tokens_of_long_urls_are_mined(spark):
+    """Twenty and more tokens a URL: rules of two and three of those that say least by themselves are found, too, and count right."""
+    import itertools
+
+    r = random.Random(13)
+    rows = []
+    for _ in range(600):
+        bad = r.random() < 0.4
+        t = [f"t{i:02}" for i in range(18) if r.random() < (0.75 if bad else 0.55)]
+        t += [x for x in "abcd" if r.random() < 0.5]
+        rows.append((t, bad or {"a", "b", "c"} <= set(t)))
+    assert sum(len(t) > 12 for t, _ in rows) > 200
+    got = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_rows=30, longest=3).collect()
+    base, n = sum(b for _, b in rows) / len(rows), len(rows)
+    held = {x: sum(1 << i for i, (t, _) in enumerate(rows) if x in t) for x in sorted({x for t, _ in rows for x in t})}
+    marked, want, best = sum(1 << i for i, (_, b) in enumerate(rows) if b), {}, {}
+    for k in (1, 2, 3):
+        for s in itertools.combinations(held, k):
+            fits = held[s[0]]
+            for x in s[1:]:
+                fits &= held[x]
+            total, bad = fits.bit_count(), (fits & marked).bit_count()
+            beat = max((best.get(p, 0.0) for p in itertools.combinations(s, k - 1)), default=0.0)
+            rule = bad >= 30 and bad / total >= 0.7 and bad - base * total >= 3 * math.sqrt(base * (1 - base) * total)
+            if rule and bad / total > beat:
+                want[s] = (bad, bad / total)
+            best[s] = max(beat, bad / total if rule else 0.0)
+    assert ("a", "b", "c") in want and len(want) > 20 and n == 600
+    assert {tuple(x.tokens): (x.support, x.confidence) for x in got} == want
+    assert all(x.index_token == min(x.tokens, key=lambda t: (held[t].bit_count(), t)) for x in got)
