@@ -217,3 +217,39 @@ def test_decontamination_by_parts_keeps_columns_and_copies(spark):
         d = r.decontamination
         assert r._key == r._spans == r._part == r.doc_id
         assert (d.n_hit, d["items"]) == ((24, sorted({str(r.doc_id % 6), str((r.doc_id + 1) % 6)})) if r.doc_id < 18 else (0, []))
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    """Nor do the many steps of near-duplicate detection, which ran out of disk with them."""
+    import time
+
+    from quern.operators.lineage import cut
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "/shuffle_" in f and f.endswith(".data")}
+
+    def left(before):
+        for _ in range(50):  # files go in the background
+            if not files() - before:
+                break
+            time.sleep(0.2)
+        return files() - before
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        before = files()
+        counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+        assert counted.count() == 7 and files() - before
+        before = files()
+        kept = cut(counted)
+        assert not left(before) and sorted(x.n for x in kept.collect()) == [142] + [143] * 6 and counted.count() == 7
+        assert spark.conf.get(setting) == "false"
+    finally:
+        spark.conf.unset(setting)
+    before = files()
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 5) * 100 + j}" for j in range(40 + i // 5 % 2))) for i in range(40)], "doc_id long, text string")
+    got = neardup.near_duplicates(docs)
+    assert len(left(before)) < 40  # those of plain counts; the steps left none
+    assert {(x.doc_id, x.component_id) for x in got.collect()} == {(i, i % 5) for i in range(40)}
