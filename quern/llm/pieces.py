@@ -13,10 +13,12 @@ by side.  What is still longer (one character repeated, say) is folded in Python
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -377,6 +379,33 @@ def encode_words(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFr
 
 
 _PACK, _ROWS, _SHARE = 2 << 20, 50_000, 4096
+#: Words and bytes of text that are worked on at a time: what is made meanwhile is many times their size.
+_WORDS, _TEXT = 4_000, 256 << 10
+
+
+def _spans(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``_TEXT`` bytes of ``texts``, a longer text alone."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(end, (int(end[at - 1]) if at else 0) + _TEXT, "right")))
+        yield at, to
+        at = to
+
+
+def _tidy() -> None:
+    """What is free goes back to the system: workers live long, and an executor's memory has room for little else beside its heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc(), "malloc_trim", None):
+        trim(0)
+
+
+@lru_cache(1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL(None)
+    except (OSError, TypeError):
+        return None
 
 
 def _packer(text_col: str, groups: int) -> Callable:
@@ -428,8 +457,13 @@ def _word_lister(shared, text_col: str) -> Callable:
                 if gid != now:
                     yield from rows(now, held)
                     now, held = gid, []
-                held.append(shared.value.words_of(_unpacked(pack).column(text_col).drop_null())[0].unique())
+                texts = _unpacked(pack).column(text_col).drop_null()
+                held.append(pa.chunked_array([shared.value.words_of(texts.slice(a, z - a))[0].unique() for a, z in _spans(texts)], pa.string()).unique())
+                del texts
+                _tidy()
         yield from rows(now, held)
+        del held
+        _tidy()
 
     return run
 
@@ -451,29 +485,36 @@ def _group_encoder(shared, names: list[str], text_col: str, decoded: bool) -> Ca
         if folded is None:
             lists = pa.array([], pa.list_(pa.int32()))
         elif model.bpe:
-            lists = pa.concat_arrays([model.between(known.slice(i, _ROWS), folded.slice(i, _ROWS).to_numpy()) for i in range(0, len(known), _ROWS)])
+            lists = pa.concat_arrays([model.between(known.slice(i, _WORDS), folded.slice(i, _WORDS).to_numpy()) for i in range(0, len(known), _WORDS)])
         else:
             lists = folded
         for pack in left.column("pack"):
-            rows = _unpacked(pack)
-            texts = rows.column(text_col)
-            words, ends = model.words_of(texts.drop_null())
-            words = words.dictionary_encode()
-            at = pc.index_in(words.dictionary, value_set=known)
+            whole = _unpacked(pack)
+            spans = list(_spans(whole.column(text_col)))
+            parted = [model.words_of(whole.column(text_col).slice(a, z - a).drop_null()) for a, z in spans]
+            words = pa.concat_arrays([w for w, _ in parted]).dictionary_encode()
+            distinct, first = words.dictionary, 0
+            at = pc.index_in(distinct, value_set=known)
             # without an edge of several characters, or longer than the lattice takes
-            rest = words.dictionary.filter(at.is_null())
-            more = pa.array([model.encode_word(w) for w in rest.to_pylist()], pa.list_(pa.int32()))
-            place = at.to_numpy(zero_copy_only=False).copy()
-            place[at.is_null().to_numpy(zero_copy_only=False)] = len(lists) + np.arange(len(rest))
-            own = pa.concat_arrays([lists, more]).take(pa.array(place.astype(np.int64))).take(words.indices)
-            size = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy())]).astype(np.int64)
-            ids, stop = model.settled(own.flatten().to_numpy(), size[ends])
-            last = np.zeros(rows.num_rows + 1, np.int64)
-            last[1:][texts.is_valid().to_numpy(zero_copy_only=False)] = np.diff(stop, prepend=0)
-            coded = pa.ListArray.from_arrays(pa.array(np.cumsum(last), pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
-            del words, own, texts, ids
-            done.append(pa.RecordBatch.from_arrays([*rows.columns, coded, *([_texts(model, coded)] if decoded else [])], names=names))
-            pa.default_memory_pool().release_unused()
+            new = at.is_null().to_numpy(zero_copy_only=False)
+            more = pa.array([model.encode_word(w) for w in distinct.filter(at.is_null()).to_pylist()], pa.list_(pa.int32()))
+            place = np.where(new, len(new) - new.sum() + np.cumsum(new) - 1, np.cumsum(~new) - 1)
+            coding = pa.concat_arrays([lists.take(at.drop_null()), more]).take(pa.array(place))
+            for (a, z), (listed, ends) in zip(spans, parted, strict=True):
+                rows = whole.slice(a, z - a)
+                valid = rows.column(text_col).is_valid()
+                own = coding.take(words.indices.slice(first, len(listed)))
+                first += len(listed)
+                size = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy())]).astype(np.int64)
+                ids, stop = model.settled(own.flatten().to_numpy(), size[ends])
+                last = np.zeros(rows.num_rows + 1, np.int64)
+                last[1:][valid.to_numpy(zero_copy_only=False)] = np.diff(stop, prepend=0)
+                made = pa.ListArray.from_arrays(pa.array(np.cumsum(last), pa.int32()), pa.array(ids, pa.int32()), mask=pc.invert(valid))
+                done.append(pa.RecordBatch.from_arrays([*rows.columns, made, *([_texts(model, made)] if decoded else [])], names=names))
+            del whole, rows, parted, listed, words, distinct, coding, own, ids, made
+            _tidy()
+        del lists, known, folded
+        _tidy()
         return pa.Table.from_batches(done)
 
     return run

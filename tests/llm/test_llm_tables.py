@@ -267,3 +267,40 @@ def test_all_tokens_of_long_urls_are_mined(spark):
     assert ("a", "b", "c") in want and len(want) > 20 and n == 600
     assert {tuple(x.tokens): (x.support, x.confidence) for x in got} == want
     assert all(x.index_token == min(x.tokens, key=lambda t: (held[t].bit_count(), t)) for x in got)
+
+
+def test_a_group_is_encoded_in_little_memory(spark):
+    """What is made meanwhile does not grow with the words or the texts of a group; ids, order and nulls stay."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import sentencepiece
+
+    model, sp, r = pieces.load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefghinorst") for _ in range(8)) for _ in range(50_000)]
+    texts = [" ".join(vocabulary[i : i + 1000]) for i in range(0, 50_000, 1000)] + [None, "", "x", " ".join(vocabulary[:40_000]), None]
+    known = ["▁" + w for w in sorted(set(vocabulary))]
+
+    def cuts(w):
+        out, at = 1, 0
+        for i in model.encode_word(w):
+            at += len(model.pieces[i])
+            out |= 1 << at
+        return out
+
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_batch(rows)
+    left = pa.table({"gid": [0], "pack": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    right = pa.table({"group": [0] * len(known), "word": pa.array(known, pa.string()), "folded": pa.array([cuts(w) for w in known], pa.int64())})
+    work = pieces._group_encoder(SimpleNamespace(value=model), ["doc_id", "text", "piece_ids"], "text", False)
+    model.words_of(pa.array(["a"]))
+    tracemalloc.start()
+    got = work(None, left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 << 20
+    assert got.column("text").to_pylist() == texts and got.column("doc_id").to_pylist() == list(range(len(texts)))
+    assert got.column("piece_ids").to_pylist() == [None if t is None else sp.encode(t) for t in texts]
