@@ -12,11 +12,15 @@ No pairs are made within a table's bucket before it is known what they are for:
    central a node, and no shared set can be larger than the rest;
 3. each node is compared with the most central node of its buckets, and components are formed;
 4. nodes whose component still differs from that of another bucket's most central node are compared with that;
-5. what is left in a bucket are nodes of different components of which neither is the most central: a pair is compared
-   in the first table where it meets, by the differences of its sets to the central one (which give the pair's own
-   difference exactly), unless the counts of 2. or the sizes of these differences rule it out.
-
-So a bucket of n copies costs n comparisons, and every pair that meets in a bucket is compared, linked or ruled out.
+5. what is left in a bucket are nodes of different components of which neither is the most central. The differences of
+   their sets to the central one give a pair's own difference exactly. One of a pair is further from the central set
+   than a link reaches, so if the pair is linked, about half of the other's differences are its differences too, and of
+   its own at most ``n * (100 - percent) / percent`` are not the other's. A node's rarest differences, one more than may
+   be missing, thus hold one that a linked node has among its own: pairs are made by these, never of two nodes of the
+   component that most nodes with a difference are in, and compared exactly, unless the counts of 2. or sizes rule them out.
+
+So a bucket of n copies costs n comparisons, also if a few strangers are in it, and every pair that meets in a bucket is
+compared, linked or ruled out.
 """
 
 from __future__ import annotations
@@ -120,7 +124,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(id, top_id, n, diff): set size of the id, and the shingles that one of the two sets has and the other has not.
+    """(id, top_id, n, top_n, diff): sizes of both sets, and the shingles that one of the two has and the other has not.
 
     An id with several texts gives a row for each, all against the other's smallest text.
     """
@@ -133,10 +137,10 @@ def _differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             return shingle_sets([t], width)[0]
 
         rows = zip(tx.cast(pa.binary()).to_pylist(), ty.cast(pa.binary()).to_pylist(), strict=True)
-        return pa.array([{"n": len(sets(a)), "diff": np.setxor1d(sets(a), sets(b), assume_unique=True).view(np.int64)} for a, b in rows], pa.struct([("n", pa.int64()), ("diff", pa.list_(pa.int64()))]))
+        return pa.array([{"n": len(sets(a)), "top_n": len(sets(b)), "diff": np.setxor1d(sets(a), sets(b), assume_unique=True).view(np.int64)} for a, b in rows], pa.struct([("n", pa.int64()), ("top_n", pa.int64()), ("diff", pa.list_(pa.int64()))]))
 
     work.__annotations__ = {"tx": pa.Array, "ty": pa.Array, "return": pa.Array}
-    return both.select("id", "top_id", F.arrow_udf(work, "struct<n:bigint,diff:array<bigint>>").asNondeterministic()("tx", "ty").alias("r")).select("id", "top_id", "r.n", "r.diff")
+    return both.select("id", "top_id", F.arrow_udf(work, "struct<n:bigint,top_n:bigint,diff:array<bigint>>").asNondeterministic()("tx", "ty").alias("r")).select("id", "top_id", "r.*")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,16 +164,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
     i, j = F.lit(GROUPS - 1), F.lit(2 * GROUPS - 1)
     keys = F.flatten(F.transform(F.sequence(F.lit(0), i), lambda p: F.transform(F.sequence(F.lit(GROUPS), j), lambda q: F.xxhash64(p, q, F.element_at("sig", p + 1), F.element_at("sig", q + 1)))))
     by_key = Window.partitionBy("key").orderBy("id")
-    met = nodes.select("id", "n", F.posexplode(keys).alias("t", "key"))
+    met = nodes.select("id", "n", F.explode(keys).alias("key"))
     met = met.withColumn("_a", F.lag("id").over(by_key)).withColumn("_z", F.lead("id").over(by_key))
-    shared = cut(met.filter("_a is not null or _z is not null").select("key", "t", "id", "n"))  # only what shares a bucket is stored
+    met = met.filter("_a is not null or _z is not null")  # only what shares a bucket is stored
+    bucket = Window.partitionBy("key")
+    shared = cut(met.select("key", "id", "n", F.count("*").over(bucket).alias("size"), F.min("n").over(bucket).alias("least_n")))
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)  # noqa: E731  necessary, from the sizes alone
     # texts are needed of nodes in buckets alone; they are looked up once
     involved = shared.select("id").distinct()
     texts = cut(texts.join(involved, "id", "left_semi").distinct())
     # 2. shingles of one node alone
-    large = cut(shared.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least_n")).filter("c > 2").select("key", "least_n"))
-    crowd = shared.join(large, "key", "left_semi").select("id").distinct()
+    crowd = shared.filter("size > 2").select("id").distinct()
     hashed = texts.join(crowd, "id", "left_semi").select("id", F.explode(text_udf("array<bigint>", lambda t: pa.array([x.view(np.int64) for x in shingle_sets(t, width)], pa.list_(pa.int64())))("text")).alias("h"))
     alone = hashed.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("_z")).filter("id = _z").groupBy("id").agg(F.count("*").alias("u"))
     alone = cut(alone)
@@ -200,26 +205,40 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
         comp = connected_components(edges)
     # 5. members of a bucket that are in different components
     reach = F.col("n") - F.col("u")
-    held = member.select("key", "t", "id", "n", "u", F.col("top.id").alias("top_id")).join(large, "key").filter(100 * reach >= percent * (F.col("n") + F.greatest("least_n", reach) - reach))
-    held = cut(labelled(held.select("key", "t", "id", "n", "top_id", reach.alias("e")), comp, "id", "c"))
-    mixed = held.groupBy("key").agg((F.max("c") != F.min("c")).alias("m")).filter("m").select("key")
-    held = held.join(mixed, "key", "left_semi")
+    held = member.filter((F.col("size") > 2) & (100 * reach >= percent * (F.col("n") + F.greatest("least_n", reach) - reach)))
+    held = labelled(held.select("key", "id", F.col("top.id").alias("top_id"), reach.alias("e")), comp, "id", "c")
+    held = held.withColumn("_a", F.min("c").over(bucket)).withColumn("_z", F.max("c").over(bucket)).filter("_a <> _z")
+    held = cut(held.groupBy("id", "top_id", "c").agg(F.max("e").alias("e")))
     # sets differ from each other by what their differences to the central set do not share: exact, and short for copies
-    diffs = cut(_differences(held.select("id", "top_id").distinct(), texts, width))
-    one_set = nodes.groupBy("id").agg(F.when(F.count("*") == 1, F.first("sig")).alias("sig"))
-    held = cut(held.drop("n").join(diffs, ["id", "top_id"]).join(one_set, "id"))
-    p, q = held.alias("p"), held.alias("q")
+    diffs = _differences(held.select("id", "top_id"), texts, width).join(held, ["id", "top_id"])
+    # 100 * shared >= percent * total, with total = shared + differing and 2 * shared = sizes - differing
+    far = F.size("diff") * (100 + percent) > (100 - percent) * (F.col("n") + F.col("top_n"))
+    diffs = cut(diffs.select("*", far.alias("far"), F.size("diff").alias("d"), F.monotonically_increasing_id().alias("row")))
+    straight = labelled(diffs.filter("not far").select("id", "top_id", "c"), comp, "top_id", "top_c").filter("c <> top_c").select(F.col("id").alias("src"), F.col("top_id").alias("dst"))
+    # a node that is not far shares more than (d + (100 - percent) / (100 + percent) * (top_n - n)) / 2 differences with one that is
+    common = F.floor((F.col("d") * (100 + percent) + (100 - percent) * (F.col("top_n") - F.col("n"))) / (2 * (100 + percent)))
+    enough = F.when(F.col("far"), F.floor(F.col("n") * (100 - percent) / percent) + 1).otherwise(F.col("d") - common)
+    same_h = Window.partitionBy("top_id", "h")
+    first = diffs.select("row", "top_id", "id", "c", "n", "e", "d", "far", enough.alias("enough"), F.explode("diff").alias("h"))
+    first = first.select("*", F.count("*").over(same_h).alias("m"), F.min("c").over(same_h).alias("_a"), F.max("c").over(same_h).alias("_z"))
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("row").orderBy("m", "h"))).filter("r <= enough and _a <> _z")
+    first = cut(first.select("top_id", "id", "c", "n", "e", "d", "far", "h"))
+    most_in = first.groupBy("top_id", "h", "c").agg(F.count("*").alias("m")).groupBy("top_id", "h").agg(F.count("*").alias("m"), F.max_by("c", F.struct("m", "c")).alias("most_c"))
+    first = cut(first.join(most_in.filter("m > 1").drop("m"), ["top_id", "h"]))
+    p, q = first.filter("c <> most_c").alias("p"), first.alias("q")
     most = F.least("p.e", "q.e")
     could = 100 * most >= percent * (F.col("p.n") + F.col("q.n") - most)
-    # 100 * shared >= percent * total, with total = shared + differing and 2 * shared = sizes - differing
     allowed = (100 - percent) * (F.col("p.n") + F.col("q.n"))
-    near = F.abs(F.size("p.diff") - F.size("q.diff")) * (100 + percent) <= allowed
-    # the first table of a pair: no earlier group of either collection is equal
-    new = F.expr(f"not exists(sequence(1, {2 * GROUPS}), k -> ((k - 1 < p.t div {GROUPS}) or (k > {GROUPS} and k - 1 - {GROUPS} < p.t % {GROUPS})) and p.sig[k - 1] = q.sig[k - 1])")
+    near = F.abs(F.col("p.d") - F.col("q.d")) * (100 + percent) <= allowed
+    apart = (F.col("p.c") != F.col("q.c")) & (F.col("p.far") | F.col("q.far"))
+    once = (F.col("q.c") == F.col("q.most_c")) | (F.col("p.id") > F.col("q.id"))
+    last = p.join(q, (F.col("p.top_id") == F.col("q.top_id")) & (F.col("p.h") == F.col("q.h")) & apart & once & could & near)
+    last = last.select("p.top_id", F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct()
+    p, q = (diffs.select("top_id", F.col("id").alias(i), "n", "diff").alias(a) for i, a in (("x", "p"), ("y", "q")))
+    last = last.join(p, ["top_id", "x"]).join(q, ["top_id", "y"])
     differing = F.size("p.diff") + F.size("q.diff") - 2 * F.size(F.array_intersect("p.diff", "q.diff"))
-    close = F.when(could & near, F.when(F.coalesce(new, F.lit(True)), differing * (100 + percent) <= allowed).otherwise(False)).otherwise(False)
-    last = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") > F.col("q.id")) & (F.col("p.c") != F.col("q.c")) & close)
-    last = cut(last.select(F.col("p.id").alias("src"), F.col("q.id").alias("dst")).distinct())
+    last = last.filter(differing * (100 + percent) <= allowed).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    last = cut(last.union(straight).distinct())
     if not last.isEmpty():
         comp = connected_components(edges.union(last))
     out = labelled(rows.select("id", "n"), comp, "id", "component_id")

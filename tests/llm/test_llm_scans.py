@@ -138,6 +138,45 @@ def test_near_duplicates(spark, seed):
     assert got == brute_near(texts, list(range(len(texts))))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_that_differ_alike(spark, seed):
+    """Changes at few places by few words, so that nodes far from the central one are near to each other or to its copies."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for at in r.sample(range(5, 150, 12), r.randrange(0, 9)):
+            w[at] = f"n{r.randrange(2)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == brute_near(texts, list(range(len(texts))))
+
+
+def test_strangers_in_a_bucket_of_copies_make_few_pairs(spark, monkeypatch):
+    """Pairs of nodes of one component are not made, also not to be dropped by a join's condition."""
+    tried, join = [], type(spark.range(1)).join
+
+    def counting(self, other, on=None, how=None):
+        if on is not None and not isinstance(on, (str, list)):  # the pairs within buckets; all other joins are on names
+            by = ["top_id", "h"] if "h" in self.columns else ["key"]
+            sizes = [x.groupBy(*(F.col(b) for b in by)).agg(F.count("*").alias(n)) for x, n in ((self, "a"), (other, "b"))]
+            tried.append(join(*sizes, by).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0])
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(spark.range(1)), "join", counting)
+    base = [f"b{i}" for i in range(150)]
+
+    def text(changes):
+        return " ".join(changes.get(i, w) for i, w in enumerate(base))
+
+    copies = [text({(7 * i) % 149: f"c{i}"}) for i in range(120)]
+    strangers = [text({20 * j + 10: f"s{j}" for j in range(6)} | {35 + 20 * i: f"t{i}"}) for i in range(3)]  # near to each other
+    got = neardup.near_duplicates(frame(spark, [*copies, *strangers]))
+    assert {(x.doc_id, x.component_id) for x in got.collect()} == {(i, 0 if i < 120 else 120) for i in range(123)}
+    assert len(tried) == 1 and tried[0] < 5 * 123  # 123 ** 2 in each bucket that holds a stranger, if all pairs are made
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     df = spark.createDataFrame([(5, a), (5, b), (7, a), (9, b), (None, a), (11, None), (12, "")], "doc_id long, text string")
