@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.operators import extract, mutate, scan, similarity, vector
-from quern.plans import retrieval
+from quern.operators.spread import dealt
 from quern.sources import html
 from quern.sources.tables import mentions, table
 
@@ -207,10 +207,13 @@ def dated_context(spark, d):
 
 
 def kept_first_and_last(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    first = retrieval.deduplicated(li, ["l_orderkey"], [F.asc("l_linenumber")]).select("l_orderkey", F.col("l_partkey").alias("first_part"))
-    last = retrieval.deduplicated(li, ["l_orderkey"], [F.desc("l_linenumber")]).select("l_orderkey", F.col("l_partkey").alias("last_part"))
-    return first.join(last, "l_orderkey")
+    """Line numbers repeat within an order; of equal ones the line that the files hold first counts. Unknown numbers and parts are passed over."""
+    li = table(spark, d, "lineitem")
+    at = F.struct("_metadata.file_path", "_metadata.row_index").alias("at")
+    (li,) = dealt(li.count(), li.select("l_orderkey", "l_linenumber", "l_partkey", at), by=["l_orderkey"])
+    known = F.col("l_linenumber").isNotNull() & F.col("l_partkey").isNotNull()
+    ends = {"first_part": F.col("l_linenumber"), "last_part": -F.col("l_linenumber").cast("long")}
+    return li.groupBy("l_orderkey").agg(*[F.min_by("l_partkey", F.when(known, F.struct(n.alias("n"), "at"))).alias(c) for c, n in ends.items()])
 
 
 def not_equal_drops_null(spark, d):

@@ -115,3 +115,23 @@ def test_streams(spark, tmp_path):
     w = ingest.windowed(e, "ts", "10 minutes", "5 minutes", None, ["u"], [F.count("*").alias("n")])
     assert sorted(r.n for r in w.collect()) == [1, 2]
     assert sorted(r.n for r in ingest.sessions(e, "ts", "10 minutes", "5 minutes", ["u"], [F.count("*").alias("n")]).collect()) == [1, 2]
+
+
+def test_kept_first_and_last_of_equal_line_numbers(spark, tmp_path):
+    """Of equal line numbers the line that the file holds first counts, as in the SQL read by one thread; null keys and numbers as there."""
+    import duckdb
+
+    from quern.plans import q_build
+
+    at, con = str(tmp_path / "lineitem.parquet"), duckdb.connect()
+    con.sql("set threads = 1")
+    con.sql(f"copy (select * from (select i % 997 as l_orderkey, (hash(i) % 100000)::bigint as l_partkey, case when i % 997 = 5 or i % 11 = 0 then null else (i % 3)::int end as l_linenumber from range(40000) t(i)) union all select null, 7, 1) to '{at}' (row_group_size 2048)")
+    con.sql(f"create view lineitem as select * from '{at}'")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")  # the lines of an order come from many tasks
+    try:
+        got = rows(q_build.kept_first_and_last(spark, str(tmp_path)).select("l_orderkey", "first_part", "last_part"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == sorted(map(str, con.sql(q_build.SQL["kept_first_and_last"]).fetchall()))
+    assert rows(retrieval.deduplicated(spark.createDataFrame([(1, 2), (1, 1)], "k int, v int"), ["k"], [F.asc("v")])) == ["(1, 1)"]
