@@ -389,3 +389,33 @@ def test_character_references(spark):
 
     df = spark.createDataFrame([("a&mdash;b &#233;&#x4E2D;&#128512; &amp;#65; &#xD800; &#9999999; x & y",)], "h string")
     assert df.select(html.plain(F.col("h")).alias("t")).first().t == "a—b é中😀 &#65; &#xD800; &#9999999; x & y"
+
+
+def test_tasks_grow_in_number_instead_of_size(spark, monkeypatch):
+    """Tasks get a fixed number of rows: of joined edges, of mentions, and of the pairs that they make."""
+    from quern.operators import spread
+    from quern.plans import q_graph, q_text
+    from quern.sources.tables import observed
+
+    monkeypatch.setattr(spread, "ROWS", 300)
+    sf = "/root/testdata/sf0.001"  # 6,000 lines
+    assert observed(spark, sf).rdd.getNumPartitions() == 20
+    assert q_text.edge_upserts(spark, sf).rdd.getNumPartitions() == 20
+    kinds = q_graph.type_disjunction(spark, sf)
+    assert "hashpartitioning(chunk_id" in (plan := kinds._jdf.queryExecution().toString()) and ", 20), REPARTITION_BY_NUM" in plan.replace("#", ""), plan
+    r = random.Random(1)
+    m = [(r.randrange(40), c) for c in range(700) for _ in range(r.randrange(10))] + [(None, 1), (1, None)]
+    mentions = spark.createDataFrame(m, "node_id long, chunk_id long")
+    got = similarity.co_occurrence(mentions)
+    assert got.rdd.getNumPartitions() >= 5
+    sets = {}
+    for n, c in m:
+        if n is not None and c is not None:
+            sets.setdefault(c, set()).add(n)
+    want = {}
+    for s in sets.values():
+        for a in s:
+            for b in s:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert rows(got) == sorted((a, b, w) for (a, b), w in want.items() if w >= 2)
