@@ -419,3 +419,18 @@ def test_tasks_grow_in_number_instead_of_size(spark, monkeypatch):
                 if a < b:
                     want[a, b] = want.get((a, b), 0) + 1
     assert rows(got) == sorted((a, b, w) for (a, b), w in want.items() if w >= 2)
+
+
+def test_alias_pairs_are_made_once_without_a_shuffle(spark, monkeypatch):
+    """Names that share several keys give one pair; blocks of a key meet each other; the pairs themselves are not dealt out anew."""
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    r = random.Random(2)
+    data = [(r.choice("XY"), f"{r.choice('ab')}{r.randrange(25)}", [r.choice("abAB") + str(r.randrange(25)) if r.random() < 0.8 else None for _ in range(r.randrange(4))] if r.random() < 0.9 else None) for _ in range(120)]
+    data += [("X", f"n{i}", ["One", "TWO"]) for i in range(20)] + [("X", None, ["one"]), (None, "n1", ["one"]), ("X", "A1", []), ("X", "a1", [])]
+    df = spark.createDataFrame(data, "label string, name string, aliases array<string>")
+    keys = {(lab, n, a.upper(), al) for lab, n, aliases in data if lab and n for a, al in [(n, False), *((x, True) for x in aliases or [] if x)]}
+    want = sorted({(p[0], p[1], q[1]) for p in keys for q in keys if p[0] == q[0] and p[1] < q[1] and p[2] == q[2] and (p[3] or q[3])})
+    found = similarity.alias_candidates(df)
+    assert rows(found) == want
+    top = found._jdf.queryExecution().optimizedPlan()
+    assert "Join" in top.toString() and "Aggregate" not in top.toString().split("Join")[0]
