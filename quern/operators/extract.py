@@ -30,7 +30,7 @@ def plausible_rows(rows: DataFrame, raw: str, canonical: str, titles: list[str],
     distinct = rows.select(raw, canonical).distinct()
     pairs = distinct.select(raw, canonical, F.explode(a).alias("x"), b.alias("ys")).select(raw, canonical, "x", F.explode("ys").alias("y"))
     easy = (F.col("x") == F.col("y")) | F.col("x").startswith(F.col("y")) | F.col("y").startswith(F.col("x"))
-    good = pairs.withColumn("e", easy).withColumn("s", F.when(F.col("e"), F.lit(1.0)).otherwise(sequence_ratio("x", "y"))).filter(F.col("s") >= cutoff).select(F.col(raw).alias("_r"), F.col(canonical).alias("_c")).distinct()
+    good = pairs.withColumn("e", easy).withColumn("s", sequence_ratio(F.when(~F.col("e"), F.col("x")), "y")).filter(F.col("e") | (F.col("s") >= cutoff)).select(F.col(raw).alias("_r"), F.col(canonical).alias("_c")).distinct()
     return keyed.join(good, (F.col(raw) == F.col("_r")) & (F.col(canonical) == F.col("_c")), "left").withColumn(out, F.col("_r").isNotNull()).drop("_k", "_r", "_c")
 
 
@@ -46,7 +46,7 @@ def extracted_nodes(results: DataFrame, labels: list[str], lexicon: DataFrame, p
     n = n.filter(F.col("label").isin(labels) & (strip(F.col("name")) != ""))
     n = n.withColumn("canonical_name", F.upper(strip(F.coalesce("given", "name"))))
     lex = lexicon.select(F.lower(F.trim("raw")).alias("_raw"), F.upper("canonical").alias("_to")).dropDuplicates(["_raw"])
-    n = n.join(lex, F.lower(strip(F.col("name"))) == F.col("_raw"), "left")
+    n = n.join(F.broadcast(lex), F.lower(strip(F.col("name"))) == F.col("_raw"), "left")  # a list written by hand
     n = plausible_rows(n, "name", "canonical_name", titles)
     own = F.upper(F.array_join(clean_tokens(F.col("name"), titles, 2), " "))
     doubtful = (F.col("label") == person) & ~F.col("plausible") & (own != "")
